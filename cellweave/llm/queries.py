@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellweave.llm import chat_format, line_dedup, mixing, ngram_join
+from cellweave.llm import chat_format, embedding_dedup, language_id, line_dedup, media, mixing, ngram_join, packing, quality, toxicity
 from cellweave.storage import Scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,11 +33,29 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), Scratch(spark, "op2"), tokenizer_path())
+
+
+def op3_toxicity_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = line_dedup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), Scratch(spark, "op4"))
     return done.select("doc_id", "text", F.col("line_dedup.n_lines").alias("n_lines"), F.size("line_dedup.dropped").alias("n_dropped"), F.col("line_dedup.dropped").alias("dropped"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.language_id(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_join(table(spark, sf_dir, "documents").select("doc_id", "text"), Scratch(spark, "op6"))
 
@@ -47,11 +65,24 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, Scratch(spark, "op7")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.embedding_dedup(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), Scratch(spark, "op8"))
+
+
+def op9_media_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.digest(media.media_columns(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def op10_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Query] = {
-    "op1_chat_formatting": op1_chat_formatting,
-    "op4_line_dedup": op4_line_dedup,
-    "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
-    "op7_source_mixing": op7_source_mixing,
-}
+    f.__name__: f
+    for f in (
+        op1_chat_formatting, op2_best_fit_packing, op3_toxicity_fm, op4_line_dedup, op5_language_id,
+        op6_ngram_jaccard_join, op7_source_mixing, op8_embedding_near_dedup, op9_media_ogg, op10_quality_pu,
+    )
+}
 
 ORACLE_SQL: dict[str, str] = {}
