@@ -10,6 +10,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,11 +36,13 @@ class Scratch:
         self._open = True
         OPEN.append(self)
 
-    def write(self, df: DataFrame, name: str = "t") -> DataFrame:
-        """Write ``df`` as Parquet and return a DataFrame that reads it back."""
+    def write(self, df: DataFrame, name: str = "t", tidy: bool = False) -> DataFrame:
+        """Write ``df`` as Parquet and return a DataFrame that reads it back; ``tidy`` where it took a large shuffle."""
         self._n += 1
         path = f"{self.root}/{name}-{self._n}"
         df.write.option("compression", "zstd").parquet(path)
+        if tidy:
+            tidy_shuffles(self.spark)
         back = self.spark.read.schema(df.schema).parquet(path)
         back._cellweave_path = path
         return back
@@ -66,6 +69,16 @@ def release(keep: int = 0) -> None:
         OPEN.pop(0).close()
 
 
+def tidy_shuffles(spark: SparkSession) -> None:
+    """Free the shuffle files of plans that have been written: they go when the driver collects its garbage.
+
+    The first collection finds the plan, the second the shuffle that it held.
+    """
+    spark._jvm.System.gc()
+    time.sleep(0.2)
+    spark._jvm.System.gc()
+
+
 def delete(spark: SparkSession, path: str) -> None:
     jvm = spark._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
