@@ -57,49 +57,55 @@ def share(members: DataFrame, scratch: Scratch) -> DataFrame:
     """
     by_key = Window.partitionBy("key").orderBy("id")
     ranked = members.select("key", "id", F.lag("id").over(by_key).alias("prev"), F.lead("id").over(by_key).alias("next"), F.first("id").over(by_key).alias("head"))
-    return scratch.write(ranked.where("prev is not null or next is not null").select("key", "id", "prev", "head"), "shared")
+    return scratch.write(ranked.where("prev is not null or next is not null").select("key", "id", "prev", "head"), "shared", tidy=True)
 
 
-def link(shared: DataFrame, verify: Callable[[DataFrame], DataFrame], scratch: Scratch, sweeps: int = 4, linear: int = 4) -> DataFrame:
-    """Components of all verified pairs that share a bucket, without listing all pairs of a bucket.
+TILE = 64
 
-    ``shared`` comes from ``share``; ``verify`` keeps the pairs ``(a, b)`` that are truly similar.  A pair
-    inside one component needs no test, so each round only tests pairs across components: first every
-    member against its bucket's first member and its predecessor, then against its predecessor in orders
-    shuffled anew each round (rows linear in the memberships).  When the pairs still open are no more than
-    ``linear`` times the memberships, or after ``sweeps`` rounds, all that remain are tested, so the result
-    is exactly that of testing every pair of every bucket.  Returns ``(id, comp)`` for ids in a component
-    of two or more.
+
+def link(shared: DataFrame, verify: Callable[[DataFrame], DataFrame], sketch: DataFrame, least: int, scratch: Scratch) -> DataFrame:
+    """Components of all verified pairs that share a bucket, without a row for each pair of a bucket.
+
+    ``shared`` comes from ``share``; ``verify`` keeps the pairs ``(a, b)`` that are truly similar; ``sketch(id, k)``
+    holds a small array for each id, of which similar ids have at least ``least`` elements in common.
+
+    First every member is tested against its bucket's first member and its predecessor: two rows a
+    membership, which unites most groups.  A pair inside one component needs no test any more.  What is left, the pairs across
+    components, is compared by sketches in tiles of ``TILE`` members: a row is a pair of tiles, and only pairs that
+    pass leave it for ``verify``.  So every pair of every bucket is tested or needless.
+    Returns ``(id, comp)`` for ids in a component of two or more.
     """
     first = shared.where("prev is not null")
     pairs = first.select(F.col("prev").alias("a"), F.col("id").alias("b")).union(first.select(F.col("head").alias("a"), F.col("id").alias("b")))
-    n = shared.count()
-    edges = scratch.write(verify(pairs.where("a <> b").distinct()), "edges")
+    edges = scratch.write(verify(pairs.where("a <> b").distinct()), "edges", tidy=True)
     comp = components(edges, scratch)
-    for sweep in range(sweeps + 1):
-        now = shared.select("key", "id").join(comp, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
-        sizes = now.groupBy("key", "comp").agg(F.count("*").cast("double").alias("m"))
-        live = sizes.groupBy("key").agg(F.sum("m").alias("all"), F.sum(F.col("m") * F.col("m")).alias("same"), F.count("*").alias("parts"))
-        live = scratch.write(live.where("parts > 1").select("key", ((F.col("all") * F.col("all") - F.col("same")) / 2).alias("left")), "live")
-        left = live.agg(F.sum("left")).first()[0] or 0
-        if not left:
-            return comp
-        last = left <= linear * n or sweep == sweeps
-        open_rows = scratch.write(now.join(live.select("key"), "key"), "open")
-        if last:
-            other = open_rows.select("key", F.col("id").alias("b"), F.col("comp").alias("comp_b"))
-            tested = open_rows.join(other, "key").where("comp < comp_b").select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b"))
-        else:
-            shuffled = Window.partitionBy("key").orderBy(F.xxhash64("id", F.lit(sweep)), "id")
-            near = open_rows.select("id", "comp", F.lag("id").over(shuffled).alias("prev"), F.lag("comp").over(shuffled).alias("comp_p"))
-            tested = near.where("comp <> comp_p").select(F.least("id", "prev").alias("a"), F.greatest("id", "prev").alias("b"))
-        found = scratch.write(verify(tested.distinct()), "edges")
-        scratch.drop(open_rows)
-        if found.limit(1).count():
-            joined = scratch.write(edges.select("a", "b").union(found.select("a", "b")), "edges")
-            scratch.drop(edges)
-            edges = joined
-            comp = components(edges, scratch)
-        if last:
-            return comp
-    return comp
+    now = shared.select("key", "id").join(comp, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
+    parts = now.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key")
+    order = Window.partitionBy("key").orderBy("comp", "id")
+    placed = now.join(parts, "key").withColumn("tile", F.floor((F.row_number().over(order) - 1) / TILE).cast("int"))
+    tiles = placed.join(sketch.select("id", "k"), "id").groupBy("key", "tile").agg(F.collect_list(F.struct("id", "comp", "k")).alias("m"))
+    tiles = scratch.write(tiles, "tiles", tidy=True)
+    count = tiles.groupBy("key").agg((F.max("tile") + 1).alias("n"))
+    left = tiles.join(count, "key").select("key", F.col("m").alias("x"), "tile", F.explode(F.sequence("tile", F.col("n") - 1)).alias("other"))
+    right = tiles.select("key", F.col("tile").alias("other"), F.col("m").alias("y"))
+    close = F.expr(
+        f"""flatten(transform(x, p -> transform(filter(y, q -> p.comp <> q.comp and (tile < other or p.id < q.id)
+        and size(array_intersect(p.k, q.k)) >= least({least}, size(p.k) div 2)), q -> named_struct('a', least(p.id, q.id), 'b', greatest(p.id, q.id)))))"""
+    )
+    tested = left.join(right, ["key", "other"]).select(F.explode(close).alias("p")).select("p.a", "p.b")
+    found = scratch.write(verify(tested.distinct()), "edges", tidy=True)
+    scratch.drop(tiles)
+    if not found.limit(1).count():
+        return comp
+    return components(scratch.write(edges.select("a", "b").union(found.select("a", "b")), "edges"), scratch)
+
+
+def narrow(big: DataFrame, ids: DataFrame, on: list[str], most: int = 1_000_000) -> DataFrame:
+    """Inner join of a large table with few rows: by broadcast while ``ids`` has ``most`` rows or fewer, else by shuffle."""
+    return big.join(F.broadcast(ids) if ids.count() <= most else ids, on)
+
+
+def only_used(table: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The rows of ``table(id, ...)`` that some pair ``(a, b)`` needs, so that only they are shuffled."""
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+    return narrow(table, ids, ["id"])

@@ -129,7 +129,7 @@ def embedding_dedup(vectors: DataFrame, scratch: Scratch, threshold: float = THR
     found = parts[0]
     for p in parts[1:]:
         found = found.union(p)
-    found = scratch.write(found, "found")
+    found = scratch.write(found, "found", tidy=True)
     comp = components(found.select(F.col("rid").alias("a"), F.col("root").alias("b")).where("a <> b"), scratch)
     links = found.groupBy("rid").agg(F.sum("links").alias("n_links"))
     smallest = comp.join(own.withColumnRenamed("rid", "id"), "id").groupBy("comp").agg(F.min("vec_id").alias("component_id"))
@@ -159,7 +159,7 @@ def _compared(use: DataFrame, n: int, scratch: Scratch, threshold: float, block:
                 cell = a.argmin(axis=1)
                 yield pd.DataFrame({"rid": pdf["rid"], "cell": cell.astype(np.int32), "angle": a[np.arange(len(a)), cell], "embedding": pdf["embedding"]})
 
-    celled = scratch.write(use.mapInPandas(assign, f"rid long, cell int, angle double, embedding {kind}"), "cells")
+    celled = scratch.write(use.mapInPandas(assign, f"rid long, cell int, angle double, embedding {kind}"), "cells", tidy=True)
     stats = {r.cell: r for r in celled.groupBy("cell").agg(F.max("angle").alias("radius"), F.count("*").alias("m")).collect()}  # at most `pivots` rows
     cells = sorted(stats)
     split = {c: -(-stats[c].m // block) for c in cells}

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cellweave.llm.ngram_join import narrow
+from cellweave.llm.components import narrow
 from cellweave.llm.training import fold
 
 BITS = 13

@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellweave.llm.components import link, share
+from cellweave.llm.components import link, narrow, only_used, share
 from cellweave.storage import Scratch
 
 WORDS = 5
@@ -142,9 +142,15 @@ def _bands(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"key": key.ravel().view(np.int64), "id": np.repeat(pdf["id"].to_numpy(), BANDS)})
 
 
-def narrow(big: DataFrame, ids: DataFrame, on: list[str], most: int = 1_000_000) -> DataFrame:
-    """Inner join of a large table with few rows: by broadcast while ``ids`` has ``most`` rows or fewer, else by shuffle."""
-    return big.join(F.broadcast(ids) if ids.count() <= most else ids, on)
+def _sketches(signed: DataFrame) -> DataFrame:
+    """The first values of each signature as ``(id, k)``, an array in which equal elements are equal values at equal places."""
+
+    def take(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        place = np.arange(2 * STEP, dtype=np.int64) << 32
+        for pdf in batches:
+            yield pd.DataFrame({"id": pdf["id"], "k": [place | np.frombuffer(s, np.uint32)[: 2 * STEP] for s in pdf["sig"]]})
+
+    return signed.select("id", "sig").mapInPandas(take, "id long, k array<long>")
 
 
 def _gram_table(docs: DataFrame, wanted: DataFrame, scratch: Scratch) -> DataFrame:
@@ -161,9 +167,9 @@ def _gram_table(docs: DataFrame, wanted: DataFrame, scratch: Scratch) -> DataFra
             yield pd.DataFrame(rows, columns=["id", "grams"]).astype({"id": "int64"})
 
     found = narrow(docs.select("doc_id", "text"), wanted.select("id", "doc_id", "h1"), ["doc_id"])
-    table = scratch.write(found.select("id", "text", "h1").mapInPandas(cut, "id long, grams binary"), "grams")
+    table = scratch.write(found.select("id", "text", "h1").mapInPandas(cut, "id long, grams binary"), "grams", tidy=True)
     if table.count() > wanted.count():  # rows that repeat an id and its text
-        table = scratch.write(table.groupBy("id").agg(F.first("grams").alias("grams")), "grams")
+        table = scratch.write(table.groupBy("id").agg(F.first("grams").alias("grams")), "grams", tidy=True)
     return table
 
 
@@ -188,7 +194,7 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return common / (len(a) + len(b) - common)
 
 
-def _verifier(classes: DataFrame, gram_table: DataFrame, threshold: float):
+def _verifier(classes: DataFrame, gram_table: DataFrame, scratch: Scratch, threshold: float):
     least = least_matches(threshold)
 
     def pruned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -206,9 +212,10 @@ def _verifier(classes: DataFrame, gram_table: DataFrame, threshold: float):
     def verify(pairs: DataFrame) -> DataFrame:
         sig_a = classes.select(F.col("id").alias("a"), F.col("sig").alias("sig_a"))
         sig_b = classes.select(F.col("id").alias("b"), F.col("sig").alias("sig_b"))
-        left = pairs.join(sig_a, "a").join(sig_b, "b").select("a", "b", "sig_a", "sig_b").mapInPandas(pruned, "a long, b long")
-        g_a = gram_table.select(F.col("id").alias("a"), F.col("grams").alias("grams_a"))
-        g_b = gram_table.select(F.col("id").alias("b"), F.col("grams").alias("grams_b"))
+        left = scratch.write(pairs.join(sig_a, "a").join(sig_b, "b").select("a", "b", "sig_a", "sig_b").mapInPandas(pruned, "a long, b long"), "left", tidy=True)
+        used = only_used(gram_table, left)
+        g_a = used.select(F.col("id").alias("a"), F.col("grams").alias("grams_a"))
+        g_b = used.select(F.col("id").alias("b"), F.col("grams").alias("grams_b"))
         return left.join(g_a, "a").join(g_b, "b").select("a", "b", "grams_a", "grams_b").mapInPandas(exact, "a long, b long")
 
     return verify
@@ -273,13 +280,13 @@ def ngram_join(docs: DataFrame, scratch: Scratch, threshold: float = THRESHOLD)
     signed = _signed(docs, scratch)
     # a class is a group of equal texts
     classes = signed.groupBy("h1", "h2").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies"), F.first("sig").alias("sig"))
-    classes = scratch.write(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
+    classes = scratch.write(classes.withColumn("id", F.monotonically_increasing_id()), "classes", tidy=True)
     worded = classes.where("sig is not null")
     shared = share(worded.select("id", "sig").mapInPandas(_bands, "key long, id long"), scratch)
-    wanted = scratch.write(worded.select("id", F.col("class_id").alias("doc_id"), "h1").join(shared.select("id").distinct(), "id", "left_semi"), "wanted")
+    wanted = scratch.write(worded.select("id", F.col("class_id").alias("doc_id"), "h1").join(shared.select("id").distinct(), "id", "left_semi"), "wanted", tidy=True)
     gram_table = _gram_table(docs, wanted, scratch)
-    near = scratch.write(worded.select("id", "sig").join(wanted, "id", "left_semi"), "near")
-    comp = scratch.write(link(shared, _verifier(near, gram_table, threshold), scratch), "component")
+    near = scratch.write(worded.select("id", "sig").join(wanted, "id", "left_semi"), "near", tidy=True)
+    comp = scratch.write(link(shared, _verifier(near, gram_table, scratch, threshold), _sketches(near), least_matches(threshold)[2 * STEP], scratch), "component")
     least = least_matches(threshold)
 
     member = comp.join(classes.select("id", "class_id", "copies"), "id")

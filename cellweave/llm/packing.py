@@ -160,7 +160,7 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[dict[int, np
 
 def pack(docs: DataFrame, scratch: Scratch, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
     """Documents -> their pieces with ``sequence_id`` and ``offset``."""
-    cut = scratch.write(pieces(docs, tokenizer, capacity), "pieces")
+    cut = scratch.write(pieces(docs, tokenizer, capacity), "pieces", tidy=True)
     per_task = cut.groupBy("length", "task").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     base = scratch.write(per_task.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))), "ranks")

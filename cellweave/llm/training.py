@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cellweave.llm.ngram_join import narrow
+from cellweave.llm.components import narrow
 
 
 def fold(folds: int) -> Column:
