@@ -12,7 +12,7 @@ yields each path's messages once.  The number of rounds follows the largest conv
 Template: ``<|im_start|>role`` line feed ``text<|im_end|>`` line feed.  A control string inside a text gets
 one backslash after its first character, and one that already has n backslashes there gets n + 1;
 ``unescape`` takes one away, so the escape is reversible for every text and no control string is left
-inside a text.  In a role a backslash, line feed or ``<`` becomes ``\\\\``, ``\\n`` or ``\\l``.
+inside a text.  In a role ``%``, a line feed and ``<`` become ``%25``, ``%0A`` and ``%3C``.
 
 Nulls: a null text or role is empty, a null score 0; rows of a null conv_id are one conversation; a
 parent that is null or not there makes a root; a null msg_id is a message that none replies to.
@@ -42,14 +42,11 @@ def unescape(text: Column) -> Column:
 
 
 def _escape_role(role: Column) -> Column:
-    doubled = F.replace(role, F.lit("\\"), F.lit("\\\\"))
-    return F.replace(F.replace(doubled, F.lit("\n"), F.lit("\\n")), F.lit("<"), F.lit("\\l"))
+    return F.replace(F.replace(F.replace(role, F.lit("%"), F.lit("%25")), F.lit("\n"), F.lit("%0A")), F.lit("<"), F.lit("%3C"))
 
 
 def _unescape_role(role: Column) -> Column:
-    # the escaped pairs are taken from the left: a doubled backslash first becomes a byte that no text of this form holds
-    plain = F.replace(F.replace(F.replace(role, F.lit("\\\\"), F.lit("<")), F.lit("\\n"), F.lit("\n")), F.lit("\\l"), F.lit("\u0000<"))
-    return F.regexp_replace(F.regexp_replace(plain, "(?<!\u0000)<", "\\\\\\\\"), "\u0000<", "<")
+    return F.replace(F.replace(F.replace(role, F.lit("%3C"), F.lit("<")), F.lit("%0A"), F.lit("\n")), F.lit("%25"), F.lit("%"))
 
 
 def chosen_paths(messages: DataFrame, scratch: Scratch, best: int = 1) -> DataFrame:
@@ -75,13 +72,11 @@ def chosen_paths(messages: DataFrame, scratch: Scratch, best: int = 1) -> DataFr
     jumps = [state]
     for _ in range(max(0, int(widest - 1).bit_length())):
         far = state.select(F.col("node").alias("up"), F.col("up").alias("up2"), F.col("rooted").alias("rooted2"), F.col("len").alias("len2"), F.col("score").alias("score2"))
-        state = scratch.write(
-            state.join(far, "up", "left").select(
-                "conv_id", "msg_id", "node", F.col("up2").alias("up"),
-                F.when(F.col("up").isNull(), F.col("rooted")).otherwise(F.col("rooted2")).alias("rooted"),
-                (F.col("len") + F.coalesce("len2", F.lit(0))).alias("len"), (F.col("score") + F.coalesce("score2", F.lit(0.0))).alias("score"),
-            ), "jump",
-        )
+        # only messages that have not reached their root yet are joined
+        onward = state.where("up is not null").join(far, "up").select(
+            "conv_id", "msg_id", "node", F.col("up2").alias("up"), F.col("rooted2").alias("rooted"), (F.col("len") + F.col("len2")).alias("len"), (F.col("score") + F.col("score2")).alias("score")
+        )
+        state = scratch.write(state.where("up is null").select(*onward.columns).union(onward), "jump")
         jumps.append(state)
     order = Window.partitionBy("conv_id").orderBy(F.desc("score"), F.desc("len"), "msg_id", "node")
     ends = state.where("rooted = 1 and up is null").join(leaves, "node", "left_semi")

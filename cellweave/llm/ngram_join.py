@@ -143,12 +143,12 @@ def _bands(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _sketches(signed: DataFrame) -> DataFrame:
-    """The first values of each signature as ``(id, k)``, an array in which equal elements are equal values at equal places."""
+    """The values of each signature as ``(id, k)``, an array in which equal elements are equal values at equal places."""
 
     def take(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        place = np.arange(2 * STEP, dtype=np.int64) << 32
+        place = np.arange(HASHES, dtype=np.int64) << 32
         for pdf in batches:
-            yield pd.DataFrame({"id": pdf["id"], "k": [place | np.frombuffer(s, np.uint32)[: 2 * STEP] for s in pdf["sig"]]})
+            yield pd.DataFrame({"id": pdf["id"], "k": [place | np.frombuffer(s, np.uint32) for s in pdf["sig"]]})
 
     return signed.select("id", "sig").mapInPandas(take, "id long, k array<long>")
 
@@ -286,7 +286,7 @@ def ngram_join(docs: DataFrame, scratch: Scratch, threshold: float = THRESHOLD)
     wanted = scratch.write(worded.select("id", F.col("class_id").alias("doc_id"), "h1").join(shared.select("id").distinct(), "id", "left_semi"), "wanted", tidy=True)
     gram_table = _gram_table(docs, wanted, scratch)
     near = scratch.write(worded.select("id", "sig").join(wanted, "id", "left_semi"), "near", tidy=True)
-    comp = scratch.write(link(shared, _verifier(near, gram_table, scratch, threshold), _sketches(near), least_matches(threshold)[2 * STEP], scratch), "component")
+    comp = scratch.write(link(shared, _verifier(near, gram_table, scratch, threshold), _sketches(near), least_matches(threshold)[HASHES], scratch), "component")
     least = least_matches(threshold)
 
     member = comp.join(classes.select("id", "class_id", "copies"), "id")

@@ -34,6 +34,7 @@ from cellweave.llm.training import draw, fold, labelled, with_text
 SAMPLE = 8_000
 STEPS = 8
 EPOCHS = 40
+LEAST_STEPS = 600
 _TRIPLE = 3
 _RUN = re.compile(r"[^\w\s]{2,}")
 _LONG = re.compile(r"\w{25,}")
@@ -139,9 +140,10 @@ def fit(pos: np.ndarray, unl: np.ndarray, prior: float | None, seed: int = 5, ep
     rng = np.random.default_rng(seed)
     w, b = np.zeros(xp.shape[1]), float(np.log(prior / (1 - prior)))
     m, s, step = np.zeros(len(w) + 1), np.zeros(len(w) + 1), 0
+    parts = max(1, max(len(xp), len(xu)) // 512)
+    epochs = max(epochs, -(-LEAST_STEPS // parts)) if epochs >= EPOCHS else epochs  # small samples get enough steps too
     for epoch in range(epochs):
         order_p, order_u = rng.permutation(len(xp)), rng.permutation(len(xu))
-        parts = max(1, max(len(xp), len(xu)) // 512)
         for ip, iu in zip(np.array_split(order_p, parts), np.array_split(order_u, parts), strict=True):
             if not len(ip) or not len(iu):
                 continue

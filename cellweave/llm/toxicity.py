@@ -33,6 +33,8 @@ SAMPLE = 16_000
 MIN_DF = 4
 RANK = 4
 EPOCHS = 14
+LEAST_STEPS = 250
+LEAST_Z = 2.0
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -70,7 +72,7 @@ def _parts(w: np.ndarray, v: np.ndarray, rows: np.ndarray, owner: np.ndarray, n:
     return linear + 0.5 * ((sums**2).sum(axis=1) - squares), sums
 
 
-def fit(samples: list[np.ndarray], y: np.ndarray, seed: int = 7, rank: int = RANK, epochs: int = EPOCHS, min_df: int = MIN_DF, rate: float = 0.05, l1: float = 2e-4, decay: float = 1e-3) -> Machine:
+def fit(samples: list[np.ndarray], y: np.ndarray, seed: int = 7, rank: int = RANK, epochs: int = EPOCHS, min_df: int = MIN_DF, rate: float = 0.05, l1: float = 1e-3, decay: float = 1e-3) -> Machine:
     """Fit on each text's distinct features and its 0/1 label."""
     if not len(samples) or len(set(y.tolist())) < 2:
         base = float(np.clip(y.mean(), 0.01, 0.99)) if len(y) else 0.1
@@ -81,7 +83,7 @@ def fit(samples: list[np.ndarray], y: np.ndarray, seed: int = 7, rank: int = RAN
     p = y.mean()
     with np.errstate(divide="ignore", invalid="ignore"):
         z = np.abs(hits - df * p) / np.sqrt(df * p * (1 - p))
-    used = np.flatnonzero((df >= min_df) & (z >= 1.0))
+    used = np.flatnonzero((df >= min_df) & (z >= LEAST_Z))
     column = np.full(SPACE, -1, np.int32)
     column[used] = np.arange(len(used))
     rows_all = column[flat]
@@ -94,6 +96,7 @@ def fit(samples: list[np.ndarray], y: np.ndarray, seed: int = 7, rank: int = RAN
     w, v, bias = np.zeros(f), rng.normal(0, 0.01, (f, rank)), float(np.log(p / (1 - p)))
     state = [np.zeros_like(w), np.zeros_like(w), np.zeros_like(v), np.zeros_like(v), 0.0, 0.0]
     step, batch = 0, 512
+    epochs = max(epochs, -(-LEAST_STEPS * batch // len(samples)))  # small samples get enough steps too
     for epoch in range(epochs):
         lr = rate * (1 - epoch / (epochs + 1))
         order = rng.permutation(len(samples))
