@@ -61,6 +61,12 @@ def share(members: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 TILE = 64
+SWEEPS = 2
+
+
+def _by_component(shared: DataFrame, comp: DataFrame) -> DataFrame:
+    """Memberships with the component of each id, its own where it has none yet."""
+    return shared.select("key", "id").join(comp, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
 
 
 def link(shared: DataFrame, verify: Callable[[DataFrame], DataFrame], sketch: DataFrame, least: int, scratch: Scratch) -> DataFrame:
@@ -70,7 +76,7 @@ def link(shared: DataFrame, verify: Callable[[DataFrame], DataFrame], sketch: Da
     holds a small array for each id, of which similar ids have at least ``least`` elements in common.
 
     First every member is tested against its bucket's first member and its predecessor: two rows a
-    membership, which unites most groups.  A pair inside one component needs no test any more.  What is left, the pairs across
+    membership, which unites most groups; then against its predecessor in ``SWEEPS`` shuffled orders.  A pair inside one component needs no test any more.  What is left, the pairs across
     components, is compared by sketches in tiles of ``TILE`` members: a row is a pair of tiles, and only pairs that
     pass leave it for ``verify``.  So every pair of every bucket is tested or needless.
     Returns ``(id, comp)`` for ids in a component of two or more.
@@ -79,7 +85,17 @@ def link(shared: DataFrame, verify: Callable[[DataFrame], DataFrame], sketch: Da
     pairs = first.select(F.col("prev").alias("a"), F.col("id").alias("b")).union(first.select(F.col("head").alias("a"), F.col("id").alias("b")))
     edges = scratch.write(verify(pairs.where("a <> b").distinct()), "edges", tidy=True)
     comp = components(edges, scratch)
-    now = shared.select("key", "id").join(comp, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
+    for sweep in range(SWEEPS):
+        placed = _by_component(shared, comp)
+        shuffled = Window.partitionBy("key").orderBy(F.xxhash64("id", F.lit(sweep)), "id")
+        near = placed.select("id", "comp", F.lag("id").over(shuffled).alias("prev"), F.lag("comp").over(shuffled).alias("before"))
+        across = near.where("comp <> before").select(F.least("id", "prev").alias("a"), F.greatest("id", "prev").alias("b")).distinct()
+        found = scratch.write(verify(across), "edges", tidy=True)
+        if not found.limit(1).count():
+            break
+        edges = scratch.write(edges.select("a", "b").union(found.select("a", "b")), "edges")
+        comp = components(edges, scratch)
+    now = _by_component(shared, comp)
     parts = now.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key")
     order = Window.partitionBy("key").orderBy("comp", "id")
     placed = now.join(parts, "key").withColumn("tile", F.floor((F.row_number().over(order) - 1) / TILE).cast("int"))
