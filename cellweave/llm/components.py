@@ -61,6 +61,7 @@ def share(members: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 TILE = 64
+SMALL = 16
 SWEEPS = 2
 
 
@@ -69,7 +70,9 @@ def _by_component(shared: DataFrame, comp: DataFrame) -> DataFrame:
     return shared.select("key", "id").join(comp, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
 
 
-def link(shared: DataFrame, verify: Callable[[DataFrame], DataFrame], sketch: DataFrame, least: int, scratch: Scratch) -> DataFrame:
+def link(
+    shared: DataFrame, verify: Callable[[DataFrame], DataFrame], sketch: DataFrame, least: int, scratch: Scratch, large: Callable[[DataFrame], DataFrame] | None = None
+) -> DataFrame:
     """Components of all verified pairs that share a bucket, without a row for each pair of a bucket.
 
     ``shared`` comes from ``share``; ``verify`` keeps the pairs ``(a, b)`` that are truly similar; ``sketch(id, k)``
@@ -79,6 +82,8 @@ def link(shared: DataFrame, verify: Callable[[DataFrame], DataFrame], sketch: Da
     membership, which unites most groups; then against its predecessor in ``SWEEPS`` shuffled orders.  A pair inside one component needs no test any more.  What is left, the pairs across
     components, is compared by sketches in tiles of ``TILE`` members: a row is a pair of tiles, and only pairs that
     pass leave it for ``verify``.  So every pair of every bucket is tested or needless.
+    Where ``large`` is given it takes the buckets of more than ``SMALL`` members, as ``(key, id, comp)``, and returns
+    verified pairs that unite all their similar members.
     Returns ``(id, comp)`` for ids in a component of two or more.
     """
     first = shared.where("prev is not null")
@@ -96,7 +101,11 @@ def link(shared: DataFrame, verify: Callable[[DataFrame], DataFrame], sketch: Da
         edges = scratch.write(edges.select("a", "b").union(found.select("a", "b")), "edges")
         comp = components(edges, scratch)
     now = _by_component(shared, comp)
-    parts = now.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key")
+    parts = now.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("members")).where("low < high").select("key", "members")
+    if large is not None:
+        parts = scratch.write(parts, "parts", tidy=True)
+        big = large(now.join(parts.where(F.col("members") > SMALL).select("key"), "key"))
+        parts = parts.where(F.col("members") <= SMALL)
     order = Window.partitionBy("key").orderBy("comp", "id")
     placed = now.join(parts, "key").withColumn("tile", F.floor((F.row_number().over(order) - 1) / TILE).cast("int"))
     tiles = placed.join(sketch.select("id", "k"), "id").groupBy("key", "tile").agg(F.collect_list(F.struct("id", "comp", "k")).alias("m"))
@@ -109,7 +118,8 @@ def link(shared: DataFrame, verify: Callable[[DataFrame], DataFrame], sketch: Da
         and size(array_intersect(p.k, q.k)) >= least({least}, size(p.k) div 2)), q -> named_struct('a', least(p.id, q.id), 'b', greatest(p.id, q.id)))))"""
     )
     tested = left.join(right, ["key", "other"]).select(F.explode(close).alias("p")).select("p.a", "p.b")
-    found = scratch.write(verify(tested.distinct()), "edges", tidy=True)
+    found = verify(tested.distinct())
+    found = scratch.write(found if large is None else found.select("a", "b").union(big), "edges", tidy=True)
     scratch.drop(tiles)
     if not found.limit(1).count():
         return comp

@@ -9,7 +9,9 @@ verified on their gram sets exactly.
 
 To find every link without listing all pairs of a large group, the join runs in two parts:
 
-1. components: ``components.link`` tests pairs across components only (rows linear in the band rows);
+1. components: ``components.link`` tests pairs across components only.  Large buckets are compared a pair of
+   tiles at a time, signatures and gram sets together, and a tile pair gives a spanning forest of its links, so
+   rows follow the members and not their pairs;
 2. links: a link lies inside one component, so each component is cut into blocks of members and each
    pair of blocks is compared once, in arrays.  Rows that leave a task are counts per class, never pairs.
 
@@ -26,7 +28,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellweave.llm.components import link, narrow, only_used, share
@@ -40,6 +42,7 @@ STEP = 16
 TOLERANCE = 1e-4
 PRIOR = (1.0, 1.0)
 BLOCK, BLOCKS = 128, 16
+TILE = 256
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -243,6 +246,85 @@ def _local_sets(sets: list[np.ndarray]) -> np.ndarray:
     return inter
 
 
+def _common(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of the sets at ``i`` and ``j``: one by one if they are few, else all at once."""
+    if len(i) <= 2 * len(sets):
+        return np.array([len(np.intersect1d(sets[x], sets[y], assume_unique=True)) for x, y in zip(i, j, strict=True)], np.int64)
+    return _local_sets(sets)[i, j].round().astype(np.int64)
+
+
+def _forest(ids: np.ndarray, comps: np.ndarray, sig: np.ndarray, grams: list[bytes], cut: int, threshold: float, least: dict[int, int]) -> list[tuple[int, int]]:
+    """A spanning forest of the links across components between the members before ``cut`` and the others, or among all if ``cut`` is 0.
+
+    All members come from one bucket.  A pair that shares an earlier band is left to the bucket of that band.
+    """
+    n = len(ids)
+    i, j = np.triu_indices(n, 1) if not cut else (x.ravel() + o for x, o in zip(np.indices((cut, n - cut)), (0, cut), strict=True))
+    across = comps[i] != comps[j]
+    i, j = i[across], j[across]
+    shared = (sig[:, : BANDS * ROWS] == sig[:1, : BANDS * ROWS]).reshape(n, BANDS, ROWS).all(axis=(0, 2))
+    for band in range(int(shared.argmax())):  # none if no band is shared by all, as two keys have collided
+        at = slice(band * ROWS, (band + 1) * ROWS)
+        later = (sig[i, at] != sig[j, at]).any(axis=1)
+        i, j = i[later], j[later]
+    keep = prune(sig[i], sig[j], least)
+    i, j = i[keep], j[keep]
+    if not len(i):
+        return []
+    used, place = np.unique(np.concatenate([i, j]), return_inverse=True)
+    sets = [np.frombuffer(grams[x], np.uint64) for x in used]
+    size = np.array([len(s) for s in sets])
+    x, y = place[: len(i)], place[len(i) :]
+    common = _common(sets, x, y)
+    ok = common >= threshold * (size[x] + size[y] - common) - 1e-9
+    root: dict[int, int] = {}
+
+    def find(c: int) -> int:
+        while (up := root.get(c, c)) != c:
+            root[c] = root.get(up, up)
+            c = up
+        return c
+
+    out = []
+    for a, b in zip(i[ok], j[ok], strict=True):
+        p, q = find(int(comps[a])), find(int(comps[b]))
+        if p != q:
+            root[p] = q
+            out.append((int(ids[a]), int(ids[b])))
+    return out
+
+
+def _large(near: DataFrame, gram_table: DataFrame, scratch: Scratch, threshold: float):
+    """Links of large buckets for ``components.link``: a row is a pair of tiles of ``TILE`` members at most, whatever the bucket's size."""
+    least = least_matches(threshold)
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = []
+            for r in pdf.itertuples(index=False):
+                same = r.tile == r.other
+                ids, comps, sig, grams = ([*x] if same else [*x, *y] for x, y in ((r.id, r.id_y), (r.comp, r.comp_y), (r.sig, r.sig_y), (r.grams, r.grams_y)))
+                sig = np.frombuffer(b"".join(sig), np.uint32).reshape(len(ids), HASHES)
+                found += _forest(np.array(ids), np.array(comps), sig, grams, 0 if same else len(r.id), threshold, least)
+            yield pd.DataFrame(found, columns=["a", "b"]).astype("int64")
+
+    def large(placed: DataFrame) -> DataFrame:
+        order = Window.partitionBy("key").orderBy("comp", "id")
+        tiled = placed.withColumn("tile", F.floor((F.row_number().over(order) - 1) / TILE).cast("int"))
+        full = tiled.join(near, "id").join(gram_table, "id")
+        fields = ("id", "comp", "sig", "grams")
+        tiles = full.groupBy("key", "tile").agg(F.collect_list(F.struct(*fields)).alias("m")).select("key", "tile", *[F.col(f"m.{c}").alias(c) for c in fields])
+        tiles = scratch.write(tiles, "tiles", tidy=True)
+        count = tiles.groupBy("key").agg((F.max("tile") + 1).alias("n"))
+        left = tiles.join(count, "key").withColumn("other", F.explode(F.sequence("tile", F.col("n") - 1))).drop("n")
+        right = tiles.select("key", F.col("tile").alias("other"), *[F.col(c).alias(f"{c}_y") for c in fields])
+        found = scratch.write(left.join(right, ["key", "other"]).mapInPandas(compare, "a long, b long"), "found", tidy=True)
+        scratch.drop(tiles)
+        return found
+
+    return large
+
+
 def _count_block(pdf: pd.DataFrame, threshold: float, least: dict[int, int]) -> pd.DataFrame:
     """Links between (or inside) the two blocks of one block pair: how many rows each class links with."""
     pdf = pdf.sort_values("id")
@@ -260,10 +342,7 @@ def _count_block(pdf: pd.DataFrame, threshold: float, least: dict[int, int]) ->
     if len(i):
         sets = [np.frombuffer(x, np.uint64) for x in pdf["grams"]]
         size = np.array([len(s) for s in sets])
-        if len(i) <= 2 * n:
-            inter = np.array([len(np.intersect1d(sets[x], sets[y], assume_unique=True)) for x, y in zip(i, j, strict=True)], np.int64)
-        else:
-            inter = _local_sets(sets)[i, j].round().astype(np.int64)
+        inter = _common(sets, i, j)
         ok = inter >= threshold * (size[i] + size[j] - inter) - 1e-9
         np.add.at(links, i[ok], copies[j[ok]])
         np.add.at(links, j[ok], copies[i[ok]])
@@ -286,7 +365,8 @@ def ngram_join(docs: DataFrame, scratch: Scratch, threshold: float = THRESHOLD)
     wanted = scratch.write(worded.select("id", F.col("class_id").alias("doc_id"), "h1").join(shared.select("id").distinct(), "id", "left_semi"), "wanted", tidy=True)
     gram_table = _gram_table(docs, wanted, scratch)
     near = scratch.write(worded.select("id", "sig").join(wanted, "id", "left_semi"), "near", tidy=True)
-    comp = scratch.write(link(shared, _verifier(near, gram_table, scratch, threshold), _sketches(near), least_matches(threshold)[HASHES], scratch), "component")
+    large = _large(near, gram_table, scratch, threshold)
+    comp = scratch.write(link(shared, _verifier(near, gram_table, scratch, threshold), _sketches(near), least_matches(threshold)[HASHES], scratch, large), "component")
     least = least_matches(threshold)
 
     member = comp.join(classes.select("id", "class_id", "copies"), "id")

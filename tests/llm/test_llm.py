@@ -156,6 +156,45 @@ def test_ngram_join_against_brute_force(spark, odd):
     assert ngram_join.ngram_join(odd.limit(0), scratch(spark)).count() == 0
 
 
+def test_ngram_join_in_large_buckets(spark, monkeypatch):
+    """A group of copies of one text in which many words are changed, cut into several tiles: every link, compared with brute force."""
+    monkeypatch.setattr(ngram_join, "TILE", 20)
+    monkeypatch.setattr(components, "SWEEPS", 0)
+    r = random.Random(5)
+    base = words(11, 150).split()
+    docs = []
+    for i in range(110):
+        mine = list(base)
+        for _ in range(r.randint(1, 4)):
+            mine[r.randrange(150)] = f"w{r.random()}"
+        docs.append((i, " ".join(mine)))
+    got = {x.doc_id: x for x in ngram_join.ngram_join(spark.createDataFrame(docs, "doc_id long, text string"), scratch(spark)).collect()}
+    sets = [set(zip(*[t.split()[k:] for k in range(5)], strict=False)) for _, t in docs]
+    near = [[j for j in range(110) if j != i and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])] for i in range(110)]
+    group = list(range(110))
+    while (new := [min([group[i], *[group[j] for j in near[i]]]) for i in range(110)]) != group:
+        group = new
+    assert [got[i].group_id for i in range(110)] == group
+    assert [got[i].n_links for i in range(110)] == [len(x) for x in near]
+
+
+def test_forest_unites_what_is_linked():
+    """Links across components inside a tile and between two tiles; a pair that shares an earlier band belongs to that band's bucket."""
+    texts = [words(21, 120), words(21, 120) + " x y", words(22, 120), words(22, 120) + " z"]
+    grams = [ngram_join.grams(t).tobytes() for t in texts]
+    sig = np.stack([ngram_join.minhash(np.frombuffer(g, np.uint64)) for g in grams])
+    sig[:, :4] = 7  # one bucket holds all
+    ids = np.arange(4)
+    least = ngram_join.least_matches()
+    assert ngram_join._forest(ids, ids, sig, grams, 0, 0.8, least) == [(0, 1), (2, 3)]
+    assert ngram_join._forest(ids, ids, sig, grams, 2, 0.8, least) == []
+    assert ngram_join._forest(ids[[0, 2, 1, 3]], ids[[0, 2, 1, 3]], sig[[0, 2, 1, 3]], [grams[x] for x in (0, 2, 1, 3)], 2, 0.8, least) == [(0, 1), (2, 3)]
+    assert ngram_join._forest(ids, np.zeros(4, int), sig, grams, 0, 0.8, least) == []
+    sig[:, :4] = [[7] * 4, [7] * 4, [8] * 4, [8] * 4]
+    sig[:, 4:8] = 7
+    assert ngram_join._forest(ids, ids, sig, grams, 0, 0.8, least) == []
+
+
 def test_mixing_targets_and_quotas(spark, odd):
     docs = [(i, f"s{i % 5}", " ".join(["w"] * (1 + i % 37 * (9 if i % 5 == 0 else 1)))) for i in range(600)]
     df = spark.createDataFrame(docs, "doc_id long, source string, text string")
