@@ -8,7 +8,8 @@ shingle).  Two lines are near when the Jaccard similarity of their sets is ``thr
 2. Each class has MinHash values over its shingles that start a word (over all in a line without spaces).  The values are minima of the shingle hashes under
    different xor masks, so a shingle is hashed once.  ``BANDS`` bands of ``ROWS`` values give a recall
    of 0.993 at a similarity of 0.8, more above.
-3. ``components.link`` tests candidates on their whole shingle sets and unites them.
+3. ``components.link`` tests candidates on their whole shingle sets and unites them; large buckets are compared
+   a pair of tiles at a time, and a line gives one verified link for each other component.
 4. Of each component, the line first in (doc_id, position) stays; blank lines always stay.
 
 Nulls: a null text has no lines and stays null; a null doc_id comes last.  Rows that repeat a doc_id
@@ -29,6 +30,8 @@ BANDS, ROWS = 7, 3
 #: Least hashes kept of each set, and how many must agree: at 0.8 fewer do with a chance of a millionth.
 SKETCH, AGREE = 24, 12
 THRESHOLD = 0.8
+#: Lines of a large bucket that are compared as one block.
+TILE = 256
 #: Xor masks: the top five bits are all different, the rest is mixed.
 MASKS = [((i * 0x9E3779B97F4A7C15) ^ (i << 59)) & (1 << 64) - 1 for i in range(1, BANDS * ROWS + 1)]
 
@@ -110,6 +113,42 @@ def _verifier(sets: DataFrame, scratch: Scratch, threshold: float):
     return verify
 
 
+def _large(classes: DataFrame, sets: DataFrame, scratch: Scratch, threshold: float):
+    """Links of large buckets for ``components.link``: sketches and whole sets are compared inside the row of a pair of tiles.
+
+    A pair is tested in the first bucket that it shares.
+    """
+
+    def large(placed: DataFrame) -> DataFrame:
+        order = Window.partitionBy("key").orderBy("comp", "id")
+        tiled = placed.withColumn("tile", F.floor((F.row_number().over(order) - 1) / TILE).cast("int"))
+        ids = scratch.write(placed.select("id").distinct(), "ids")
+        whole = narrow(sets, ids, ["id"]).select("id", "n", "k", _set("line").alias("s"))
+        whole = scratch.write(narrow(classes.select("id", "keys"), ids, ["id"]).join(whole, "id"), "whole", tidy=True)
+        tiles = tiled.join(whole, "id").groupBy("key", "tile").agg(F.collect_list(F.struct("id", "comp", "keys", "n", "k", "s")).alias("m"))
+        tiles = scratch.write(tiles, "tiles", tidy=True)
+        count = tiles.groupBy("key").agg((F.max("tile") + 1).alias("n"))
+        left = tiles.join(count, "key").select("key", F.col("m").alias("x"), "tile", F.explode(F.sequence("tile", F.col("n") - 1)).alias("other"))
+        right = tiles.select("key", F.col("tile").alias("other"), F.col("m").alias("y"))
+        common = "cast(size(array_intersect(p.s, q.s)) as double)"
+        near = f"""filter(y, q -> p.comp <> q.comp and (tile < other or p.id < q.id)
+            and least(p.n, q.n) >= {threshold} * greatest(p.n, q.n) - 1e-9
+            and size(array_intersect(p.k, q.k)) >= least({AGREE}, size(p.k) div 2)
+            and array_intersect(p.keys, q.keys)[0] = key
+            and {common} >= {threshold} * (p.n + q.n - {common}) - 1e-9)"""
+        # of a line's links with one other component the first is enough
+        once = f"""transform(array(transform({near}, q -> struct(q.comp as c, q.id as b))),
+            z -> filter(z, (q, i) -> array_position(transform(z, w -> w.c), q.c) = i + 1))[0]"""
+        links = F.expr(f"flatten(transform(x, p -> transform({once}, q -> named_struct('a', least(p.id, q.b), 'b', greatest(p.id, q.b)))))")
+        found = left.join(right, ["key", "other"]).select(F.explode(links).alias("p")).select("p.a", "p.b")
+        found = scratch.write(found, "found", tidy=True)
+        scratch.drop(tiles)
+        scratch.drop(whole)
+        return found
+
+    return large
+
+
 def line_groups(docs: DataFrame, scratch: Scratch, threshold: float = THRESHOLD) -> DataFrame:
     """``(h1, h2, comp, keep_doc)`` for each distinct line that is near another: its component and the document that keeps a line of it."""
     classes = classes_of(docs, scratch)
@@ -117,7 +156,8 @@ def line_groups(docs: DataFrame, scratch: Scratch, threshold: float = THRESHOLD)
     wanted = scratch.write(classes.select("id", "h1", "first_doc").join(shared.select("id").distinct(), "id", "left_semi"), "wanted", tidy=True)
     hashed = _texts(docs, wanted).select("id", "line", _set("line").alias("s"))
     sets = scratch.write(hashed.select("id", "line", F.size("s").alias("n"), F.slice(F.sort_array("s"), 1, SKETCH).alias("k")), "sets", tidy=True)
-    comp = scratch.write(link(shared, _verifier(sets, scratch, threshold), sets, AGREE, scratch), "component")
+    large = _large(classes, sets, scratch, threshold)
+    comp = scratch.write(link(shared, _verifier(sets, scratch, threshold), sets, AGREE, scratch, large), "component")
     grouped = classes.select("id", "h1", "h2", "first_doc").join(comp, "id")
     keeper = grouped.groupBy("comp").agg(F.min("first_doc").alias("keep_doc"))
     return scratch.write(grouped.join(keeper, "comp").select("h1", "h2", "comp", "keep_doc"), "near")

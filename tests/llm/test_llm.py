@@ -156,6 +156,22 @@ def test_ngram_join_against_brute_force(spark, odd):
     assert ngram_join.ngram_join(odd.limit(0), scratch(spark)).count() == 0
 
 
+def test_line_dedup_in_large_buckets(spark, monkeypatch):
+    """Near copies of one line that share a bucket, cut into several tiles: the components of brute force."""
+    monkeypatch.setattr(line_dedup, "TILE", 8)
+    monkeypatch.setattr(components, "SWEEPS", 0)
+    r, base = random.Random(6), words(12, 60).split()
+    docs = [(i, " ".join(w if r.random() > 0.02 else f"w{r.randrange(9)}" for w in base)) for i in range(40)]
+    got = line_dedup.line_groups(spark.createDataFrame(docs, "doc_id long, text string"), scratch(spark)).collect()
+    sets = [{t[k : k + 9] for k in range(len(t) - 8)} for _, t in docs]
+    near = [[j for j in range(40) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])] for i in range(40)]
+    group = list(range(40))
+    while (new := [min(group[j] for j in near[i]) for i in range(40)]) != group:
+        group = new
+    sizes = collections.Counter(group[i] for i, (_, t) in enumerate(docs) if t not in [u for _, u in docs[:i]])
+    assert collections.Counter(x.keep_doc for x in got) == {k: n for k, n in sizes.items() if n > 1}
+
+
 def test_ngram_join_in_large_buckets(spark, monkeypatch):
     """A group of copies of one text in which many words are changed, cut into several tiles: every link, compared with brute force."""
     monkeypatch.setattr(ngram_join, "TILE", 20)
