@@ -5,9 +5,9 @@ without outer spaces.  Its set is that of its character shingles (``Q`` characte
 shingle).  Two lines are near when the Jaccard similarity of their sets is ``threshold`` or more.
 
 1. Equal lines form one class by a 128-bit hash; only hashes and positions are shuffled.
-2. Each class has MinHash values over its shingles that start a word (over all in a line without spaces).  The values are minima of the shingle hashes under
-   different xor masks, so a shingle is hashed once.  ``BANDS`` bands of ``ROWS`` values give a recall
-   of 0.993 at a similarity of 0.8, more above.
+2. Each class has MinHash values over all its shingles.  A shingle is hashed once to 64 bits; the values are minima of
+   further hashes of it, one for each mask.  ``BANDS`` bands of ``ROWS`` values give a recall of 0.993 at a similarity of
+   0.8, more above.
 3. ``components.link`` tests candidates on their whole shingle sets and unites them; large buckets are compared
    a pair of tiles at a time, and a line gives one verified link for each other component.
 4. Of each component, the line first in (doc_id, position) stays; blank lines always stay.
@@ -32,7 +32,7 @@ SKETCH, AGREE = 24, 12
 THRESHOLD = 0.8
 #: Lines of a large bucket that are compared as one block.
 TILE = 256
-#: Xor masks: the top five bits are all different, the rest is mixed.
+#: Xor masks, each the seed of one hash function: what is hashed is a shingle's hash under the mask.
 MASKS = [((i * 0x9E3779B97F4A7C15) ^ (i << 59)) & (1 << 64) - 1 for i in range(1, BANDS * ROWS + 1)]
 
 
@@ -45,10 +45,9 @@ def shingles(line: str, q: int = Q) -> Column:
     return F.expr(f"if(length({line}) < {q}, array({line}), regexp_extract_all({line}, '(?s)(?=(.{{{q}}}))', 1))")
 
 
-def anchored(line: str, q: int = Q) -> Column:
-    """The shingles at word starts, or all in a line without spaces; a line shorter than a shingle has none (it is compared as a whole)."""
-    every, starts = f"regexp_extract_all({line}, '(?s)(?=(.{{{q}}}))', 1)", f"regexp_extract_all({line}, '(?s)(?<![^ ])(?=(.{{{q}}}))', 1)"
-    return F.expr(f"if(contains({line}, ' '), {starts}, {every})")
+def full(line: str, q: int = Q) -> Column:
+    """The shingles of a line of ``q`` characters or more; a shorter line has none (it is near its equals only, which are one class)."""
+    return F.expr(f"regexp_extract_all({line}, '(?s)(?=(.{{{q}}}))', 1)")
 
 
 def lines_of(docs: DataFrame, *more: str) -> DataFrame:
@@ -69,9 +68,9 @@ def classes_of(docs: DataFrame, scratch: Scratch) -> DataFrame:
     The minima are grouped by the line itself, so one hash aggregation (merged map-side) yields both the
     classes and their signatures.
     """
-    lines = lines_of(docs).select("doc_id", *_hashes(), F.explode(anchored("line")).alias("shingle"))
+    lines = lines_of(docs).select("doc_id", *_hashes(), F.explode(full("line")).alias("shingle"))
     lines = lines.select("doc_id", "h1", "h2", F.xxhash64("shingle").alias("h"))
-    minima = [F.min(F.col("h").bitwiseXOR(F.lit(_signed(m)))).alias(f"m{i}") for i, m in enumerate(MASKS)]
+    minima = [F.min(F.xxhash64(F.col("h").bitwiseXOR(F.lit(_signed(m))))).alias(f"m{i}") for i, m in enumerate(MASKS)]
     signed = lines.groupBy("h1", "h2").agg(F.min("doc_id").alias("first_doc"), *minima)
     bands = F.array(*[F.xxhash64(F.lit(b), *[f"m{b * ROWS + r}" for r in range(ROWS)]) for b in range(BANDS)])
     return scratch.write(signed.select(F.monotonically_increasing_id().alias("id"), "h1", "h2", "first_doc", bands.alias("keys")), "classes", tidy=True)

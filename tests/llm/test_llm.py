@@ -172,6 +172,38 @@ def test_line_dedup_in_large_buckets(spark, monkeypatch):
     assert collections.Counter(x.keep_doc for x in got) == {k: n for k, n in sizes.items() if n > 1}
 
 
+def test_line_dedup_recall(spark):
+    """Lines of few words (a label and a long run, one space in CJK text, a URL) are found as ordinary ones are; near is what brute force says."""
+    r = random.Random(8)
+    run = lambda n, of="abcdefghijklmnopqrstuvwxyz0123456789": "".join(r.choice(of) for _ in range(n))
+    cjk = "".join(map(chr, range(0x4E00, 0x5E00)))
+
+    def pair(kind):
+        if kind == "label":
+            tail = run(150)
+            return f"{run(5)} {tail}", f"{run(5)} {tail}"
+        if kind == "cjk":
+            a, b = run(75, cjk), run(75, cjk)
+            return f"{a} {b}", f"{run(5, cjk)}{a[5:]} {b}"
+        if kind == "url":
+            tail = f"{run(12)}.org/{run(60)}?k={run(60)}"
+            return f"see{run(2)} https://{tail}", f"see{run(2)} https://{tail}"
+        line = [run(r.randint(4, 9)) for _ in range(16)]
+        at = r.randrange(16)
+        return " ".join(line), " ".join([*line[:at], "#" + line[at][1:], *line[at + 1 :]])
+
+    sets = lambda s: {s[k : k + 9] for k in range(len(s) - 8)}
+    pairs = [(kind, *pair(kind)) for kind in ("label", "cjk", "url", "prose") for _ in range(250)]
+    pairs = [p for p in pairs if len(sets(p[1]) & sets(p[2])) >= 0.8 * len(sets(p[1]) | sets(p[2]))]
+    docs = spark.createDataFrame([(2 * i + k, t) for i, p in enumerate(pairs) for k, t in enumerate(p[1:])], "doc_id long, text string")
+    kept = {x.doc_id: x.text for x in line_dedup.line_dedup(docs, scratch(spark)).collect()}
+    assert all(kept[2 * i] == p[1] for i, p in enumerate(pairs))
+    of = collections.Counter(p[0] for p in pairs)
+    found = collections.Counter(p[0] for i, p in enumerate(pairs) if kept[2 * i + 1] == "")
+    recall = {k: found[k] / n for k, n in of.items()}
+    assert min(of.values()) > 150 and min(recall.values()) >= 0.985, recall
+
+
 def test_ngram_join_in_large_buckets(spark, monkeypatch):
     """A group of copies of one text in which many words are changed, cut into several tiles: every link, compared with brute force."""
     monkeypatch.setattr(ngram_join, "TILE", 20)
