@@ -13,7 +13,9 @@ To find every link without listing all pairs of a large group, the join runs in
    tiles at a time, signatures and gram sets together, and a tile pair gives a spanning forest of its links, so
    rows follow the members and not their pairs;
 2. links: a link lies inside one component, so each component is cut into blocks of members and each
-   pair of blocks is compared once, in arrays.  Rows that leave a task are counts per class, never pairs.
+   pair of blocks is compared once, in arrays of at most ``BLOCK`` by ``BLOCK`` pairs.  A component has up to ``BLOCKS``
+   blocks, and more where a block would hold over ``MOST`` members, so a task's memory does not grow with the component.
+   Rows that leave a task are counts per class, never pairs.
 
 Nulls: a null text is a text without words; a null doc_id is a row like others, but links of a text that
 occurs only under null ids are not looked for.  Repeated ids are separate rows.  An empty table gives an
@@ -28,7 +30,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellweave.llm.components import link, narrow, only_used, share
@@ -42,6 +44,8 @@ STEP = 16
 TOLERANCE = 1e-4
 PRIOR = (1.0, 1.0)
 BLOCK, BLOCKS = 128, 16
+#: Members of a block on average, at most, whatever the component's size.
+MOST = 1024
 TILE = 256
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -325,27 +329,46 @@ def _large(near: DataFrame, gram_table: DataFrame, scratch: Scratch, threshold:
     return large
 
 
+def _blocks(m: Column) -> Column:
+    """The number of blocks of a component of ``m`` members."""
+    return F.when(m <= BLOCK, 1).otherwise(F.greatest(F.least(F.ceil(m / BLOCK), F.lit(BLOCKS)), F.ceil(m / MOST))).cast("int")
+
+
 def _count_block(pdf: pd.DataFrame, threshold: float, least: dict[int, int]) -> pd.DataFrame:
-    """Links between (or inside) the two blocks of one block pair: how many rows each class links with."""
-    pdf = pdf.sort_values("id")
-    ids, copies, block = pdf["id"].to_numpy(), pdf["copies"].to_numpy(), pdf["block"].to_numpy()
+    """Links between (or inside) the two blocks of one block pair: how many rows each class links with.
+
+    The pairs are listed and compared a tile of ``BLOCK`` by ``BLOCK`` members at a time.
+    """
+    pdf = pdf.sort_values(["block", "id"])
+    ids, copies, block, grams = (pdf[c].to_numpy() for c in ("id", "copies", "block", "grams"))
     n = len(ids)
     sig = np.frombuffer(b"".join(pdf["sig"]), np.uint32).reshape(n, HASHES)
     same = bool(pdf["bi"].iloc[0] == pdf["bj"].iloc[0])
-    i, j = np.triu_indices(n, 1)
-    if not same:
-        cross = block[i] != block[j]
-        i, j = i[cross], j[cross]
-    keep = prune(sig[i], sig[j], least)
-    i, j = i[keep], j[keep]
+    cut = n if same else int(np.searchsorted(block, block[0], "right"))
     links = np.zeros(n, np.int64)
-    if len(i):
-        sets = [np.frombuffer(x, np.uint64) for x in pdf["grams"]]
-        size = np.array([len(s) for s in sets])
-        inter = _common(sets, i, j)
-        ok = inter >= threshold * (size[i] + size[j] - inter) - 1e-9
-        np.add.at(links, i[ok], copies[j[ok]])
-        np.add.at(links, j[ok], copies[i[ok]])
+    if not same and block[0] == block[-1]:  # the other block has no members
+        return pd.DataFrame({"id": ids, "links": links})
+    for x in range(0, cut, BLOCK):
+        rows = np.arange(x, min(x + BLOCK, cut))
+        for y in range(x if same else cut, n, BLOCK):
+            if x == y:
+                i, j = (rows[k] for k in np.triu_indices(len(rows), 1))
+                members = rows
+            else:
+                others = np.arange(y, min(y + BLOCK, n))
+                i, j = np.repeat(rows, len(others)), np.tile(others, len(rows))
+                members = np.concatenate([rows, others])
+            keep = prune(sig[i], sig[j], least)
+            i, j = i[keep], j[keep]
+            if not len(i):
+                continue
+            sets = [np.frombuffer(grams[k], np.uint64) for k in members]
+            size = np.array([len(s) for s in sets])
+            p, q = np.searchsorted(members, i), np.searchsorted(members, j)
+            inter = _common(sets, p, q)
+            ok = inter >= threshold * (size[p] + size[q] - inter) - 1e-9
+            np.add.at(links, i[ok], copies[j[ok]])
+            np.add.at(links, j[ok], copies[i[ok]])
     return pd.DataFrame({"id": ids, "links": links})
 
 
@@ -371,7 +394,7 @@ def ngram_join(docs: DataFrame, scratch: Scratch, threshold: float = THRESHOLD)
 
     member = comp.join(classes.select("id", "class_id", "copies"), "id")
     sizes = comp.groupBy("comp").agg(F.count("*").alias("m"))
-    sizes = sizes.select("comp", F.when(F.col("m") <= BLOCK, 1).otherwise(F.least(F.ceil(F.col("m") / BLOCK), F.lit(BLOCKS))).cast("int").alias("blocks"))
+    sizes = sizes.select("comp", _blocks(F.col("m")).alias("blocks"))
     blocked = member.join(sizes, "comp").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
     blocked = blocked.join(near, "id").join(gram_table, "id")
     paired = blocked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))

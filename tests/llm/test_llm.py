@@ -7,6 +7,7 @@ import struct
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -226,6 +227,28 @@ def test_ngram_join_in_large_buckets(spark, monkeypatch):
     assert [got[i].n_links for i in range(110)] == [len(x) for x in near]
 
 
+@pytest.mark.parametrize("blocks", [1, 2])
+def test_block_pairs_are_counted_in_bounded_tiles(monkeypatch, blocks):
+    """A block of any size: no array of pairs beyond ``BLOCK`` by ``BLOCK``, and the links of brute force."""
+    r, base, n = random.Random(3), words(23, 120).split(), 300
+    texts = [" ".join(w if r.random() > 0.015 else f"w{r.random()}" for w in base) for _ in range(n)]
+    sets = [ngram_join.grams(t) for t in texts]
+    block, copies = np.arange(n) % blocks, np.arange(n) % 3 + 1
+    pdf = pd.DataFrame({"id": np.arange(n)[::-1], "copies": copies, "comp": 0, "block": block, "bi": 0, "bj": blocks - 1, "sig": [ngram_join.minhash(g).tobytes() for g in sets], "grams": [g.tobytes() for g in sets]})
+    most, prune = [], ngram_join.prune
+    monkeypatch.setattr(ngram_join, "prune", lambda a, b, least: most.append(len(a)) or prune(a, b, least))
+    got = ngram_join._count_block(pdf, 0.8, ngram_join.least_matches()).set_index("id")["links"]
+    want = [sum(int(copies[j]) for j in range(n) if j != i and (blocks == 1 or block[i] != block[j]) and ngram_join.jaccard(sets[i], sets[j]) >= 0.8) for i in range(n)]
+    assert [got[n - 1 - i] for i in range(n)] == want and 0 < sum(want) < n * n
+    assert max(most) <= ngram_join.BLOCK**2
+
+
+def test_blocks_do_not_grow_with_the_component(spark):
+    m = [2, 128, 129, 2048, 20_000, 200_000, 5_000_000]
+    got = [x[0] for x in spark.createDataFrame([(x,) for x in m], "m long").select(ngram_join._blocks(F.col("m"))).collect()]
+    assert got[:4] == [1, 1, 2, 16] and all(x / n <= ngram_join.MOST for x, n in zip(m, got, strict=True))
+
+
 def test_forest_unites_what_is_linked():
     """Links across components inside a tile and between two tiles; a pair that shares an earlier band belongs to that band's bucket."""
     texts = [words(21, 120), words(21, 120) + " x y", words(22, 120), words(22, 120) + " z"]
