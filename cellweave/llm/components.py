@@ -126,6 +126,19 @@ def link(
     return components(scratch.write(edges.select("a", "b").union(found.select("a", "b")), "edges"), scratch)
 
 
+def with_rows(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """The documents with ``__row``, a key that each row has alone, in the order of ``doc_id`` with null last.
+
+    Where all ids are there and differ, it is the id itself; else the rows are numbered in a written table.  They are
+    sorted by id and place, so an id that many rows share is spread over tasks.
+    """
+    n = docs.agg(F.count("*"), F.count("doc_id"), F.count_distinct("doc_id")).first()
+    if n[0] == n[1] == n[2]:
+        return docs.withColumn("__row", F.col("doc_id"))
+    placed = docs.withColumn("__row", F.monotonically_increasing_id()).orderBy(F.col("doc_id").asc_nulls_last(), "__row")
+    return scratch.write(placed.withColumn("__row", F.monotonically_increasing_id()), "rows", tidy=True)
+
+
 def narrow(big: DataFrame, ids: DataFrame, on: list[str], most: int = 1_000_000) -> DataFrame:
     """Inner join of a large table with few rows: by broadcast while ``ids`` has ``most`` rows or fewer, else by shuffle."""
     return big.join(F.broadcast(ids) if ids.count() <= most else ids, on)

@@ -10,11 +10,10 @@ shingle).  Two lines are near when the Jaccard similarity of their sets is ``thr
    0.8, more above.
 3. ``components.link`` tests candidates on their whole shingle sets and unites them; large buckets are compared
    a pair of tiles at a time, and a line gives one verified link for each other component.
-4. Of each component, the line first in (doc_id, position) stays; blank lines always stay.
+4. Of each component, the line first in (doc_id, row, position) stays; blank lines always stay.
 
-Nulls: a null text has no lines and stays null; a null doc_id comes last.  Rows that repeat a doc_id
-count as one document: the lines at the same positions go from each.  An empty table gives an empty
-result.  Extra columns ride along untouched; what the operator adds is one struct, ``line_dedup``.
+Nulls: a null text has no lines and stays null; a null doc_id comes last.  Rows that repeat a doc_id, or have
+none, are documents of their own, in no set order among themselves.  An empty table gives an empty result.  Extra columns ride along untouched; what the operator adds is one struct, ``line_dedup``.
 """
 
 from __future__ import annotations
@@ -22,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cellweave.llm.components import link, narrow, only_used, share
+from cellweave.llm.components import link, narrow, only_used, share, with_rows
 from cellweave.storage import Scratch
 
 Q = 9
@@ -51,11 +50,11 @@ def full(line: str, q: int = Q) -> Column:
 
 
 def lines_of(docs: DataFrame, *more: str) -> DataFrame:
-    """``(doc_id, text)`` -> ``(doc_id, pos, line)`` with lines as they are compared; blank lines are left out."""
+    """``(__row, text)`` -> ``(__row, pos, line)`` with lines as they are compared; blank lines are left out."""
     # cleaned once before the generator, so later expressions read an attribute and never redo the work
     clean = F.replace(F.replace(F.lower("text"), F.lit("\r"), F.lit(" ")), F.lit("\t"), F.lit(" "))
     lines = F.transform(F.split(clean, "\n"), lambda x: F.trim(x))
-    return docs.select("doc_id", *more, F.posexplode(lines).alias("pos", "line")).where("line <> ''")
+    return docs.select("__row", *more, F.posexplode(lines).alias("pos", "line")).where("line <> ''")
 
 
 def _hashes() -> list[Column]:
@@ -68,18 +67,18 @@ def classes_of(docs: DataFrame, scratch: Scratch) -> DataFrame:
     The minima are grouped by the line itself, so one hash aggregation (merged map-side) yields both the
     classes and their signatures.
     """
-    lines = lines_of(docs).select("doc_id", *_hashes(), F.explode(full("line")).alias("shingle"))
-    lines = lines.select("doc_id", "h1", "h2", F.xxhash64("shingle").alias("h"))
+    lines = lines_of(docs).select("__row", *_hashes(), F.explode(full("line")).alias("shingle"))
+    lines = lines.select("__row", "h1", "h2", F.xxhash64("shingle").alias("h"))
     minima = [F.min(F.xxhash64(F.col("h").bitwiseXOR(F.lit(_signed(m))))).alias(f"m{i}") for i, m in enumerate(MASKS)]
-    signed = lines.groupBy("h1", "h2").agg(F.min("doc_id").alias("first_doc"), *minima)
+    signed = lines.groupBy("h1", "h2").agg(F.min("__row").alias("first_doc"), *minima)
     bands = F.array(*[F.xxhash64(F.lit(b), *[f"m{b * ROWS + r}" for r in range(ROWS)]) for b in range(BANDS)])
     return scratch.write(signed.select(F.monotonically_increasing_id().alias("id"), "h1", "h2", "first_doc", bands.alias("keys")), "classes", tidy=True)
 
 
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """The lines of the wanted classes ``(id, h1, first_doc)``, each from its first document: ``(id, line)``."""
-    by_doc = wanted.groupBy(F.col("first_doc").alias("doc_id")).agg(F.collect_list("h1").alias("hs"), F.collect_list("id").alias("ids"))
-    found = lines_of(narrow(docs.select("doc_id", "text"), by_doc, ["doc_id"]), "hs", "ids").withColumn("at", F.array_position("hs", F.xxhash64("line")))
+    by_doc = wanted.groupBy(F.col("first_doc").alias("__row")).agg(F.collect_list("h1").alias("hs"), F.collect_list("id").alias("ids"))
+    found = lines_of(narrow(docs.select("__row", "text"), by_doc, ["__row"]), "hs", "ids").withColumn("at", F.array_position("hs", F.xxhash64("line")))
     return found.where("at > 0").select(F.expr("ids[cast(at as int) - 1]").alias("id"), "line").groupBy("id").agg(F.min("line").alias("line"))
 
 
@@ -149,7 +148,8 @@ def _large(classes: DataFrame, sets: DataFrame, scratch: Scratch, threshold: flo
 
 
 def line_groups(docs: DataFrame, scratch: Scratch, threshold: float = THRESHOLD) -> DataFrame:
-    """``(h1, h2, comp, keep_doc)`` for each distinct line that is near another: its component and the document that keeps a line of it."""
+    """``(h1, h2, comp, keep_doc)`` for each distinct line that is near another: its component and the document (its ``__row``) that keeps a line of it."""
+    docs = docs if "__row" in docs.columns else with_rows(docs, scratch)
     classes = classes_of(docs, scratch)
     shared = share(classes.select("id", F.explode("keys").alias("key")).select("key", "id"), scratch)
     wanted = scratch.write(classes.select("id", "h1", "first_doc").join(shared.select("id").distinct(), "id", "left_semi"), "wanted", tidy=True)
@@ -167,23 +167,23 @@ def line_dedup(docs: DataFrame, scratch: Scratch, threshold: float = THRESHOLD)
 
     ``line_dedup`` has ``n_lines`` (blank ones not counted) and ``dropped``, the positions removed.
     """
+    docs = with_rows(docs, scratch)
     near = line_groups(docs, scratch, threshold)
     # lines that occur once and are near no other never leave their document: only the rest is regrouped
-    own = lines_of(docs).select("doc_id", "pos", *_hashes())
-    counted = own.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
+    own = lines_of(docs).select("__row", "pos", *_hashes())
+    counted = own.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("__row").alias("first_doc"))
     again = counted.where("n > 1").select("h1", "h2", "first_doc")
     judged = again.join(near, ["h1", "h2"], "full").select(
         "h1", "h2", F.coalesce("keep_doc", "first_doc").alias("keep_doc"), F.struct(F.col("comp"), F.when(F.col("comp").isNull(), F.col("h1")), F.when(F.col("comp").isNull(), F.col("h2"))).alias("group")
     )
     judged = scratch.write(judged, "judged", tidy=True)
-    placed = own.join(judged, ["h1", "h2"]).select("doc_id", "pos", "group", F.expr("keep_doc <=> doc_id").alias("here"))
+    placed = own.join(judged, ["h1", "h2"]).select("__row", "pos", "group", F.expr("keep_doc = __row").alias("here"))
     # one exchange by document serves the first line of each group in it and the list of what goes
-    placed = placed.repartition("doc_id")
-    first = F.min("pos").over(Window.partitionBy("doc_id", "group"))
-    gone = placed.withColumn("first", first).where("not here or pos > first").groupBy("doc_id").agg(F.sort_array(F.collect_list("pos")).alias("gone"))
-    gone = scratch.write(gone.select(F.col("doc_id").alias("__doc"), "gone"), "gone", tidy=True)
-    marked = docs.join(gone, F.expr("doc_id <=> __doc"), "left").drop("__doc")
-    return cut(marked).drop("gone")
+    placed = placed.repartition("__row")
+    first = F.min("pos").over(Window.partitionBy("__row", "group"))
+    gone = placed.withColumn("first", first).where("not here or pos > first").groupBy("__row").agg(F.sort_array(F.collect_list("pos")).alias("gone"))
+    gone = scratch.write(gone, "gone", tidy=True)
+    return cut(docs.join(gone, "__row", "left")).drop("gone", "__row")
 
 
 def cut(marked: DataFrame) -> DataFrame:

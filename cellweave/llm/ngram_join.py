@@ -17,8 +17,8 @@ To find every link without listing all pairs of a large group, the join runs in
    blocks, and more where a block would hold over ``MOST`` members, so a task's memory does not grow with the component.
    Rows that leave a task are counts per class, never pairs.
 
-Nulls: a null text is a text without words; a null doc_id is a row like others, but links of a text that
-occurs only under null ids are not looked for.  Repeated ids are separate rows.  An empty table gives an
+Nulls: a null text is a text without words; a null doc_id is a row like others, last in order.  Repeated ids
+are separate rows.  An empty table gives an
 empty result.  Extra columns are ignored.
 """
 
@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cellweave.llm.components import link, narrow, only_used, share
+from cellweave.llm.components import link, narrow, only_used, share, with_rows
 from cellweave.storage import Scratch
 
 WORDS = 5
@@ -122,21 +122,21 @@ def least_matches(threshold: float = THRESHOLD, tolerance: float = TOLERANCE, ha
 
 
 def _signed(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """``(doc_id, text)`` -> written ``(doc_id, h1, h2, sig)``: a 128-bit text hash and the MinHash values (null without words)."""
+    """``(doc_id, __row, text)`` -> written ``(doc_id, __row, h1, h2, sig)``: a 128-bit text hash and the MinHash values (null without words)."""
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
 
         for pdf in batches:
             rows = []
-            for i, text in zip(pdf["doc_id"], pdf["text"], strict=True):
+            for text in pdf["text"]:
                 g = grams(text)
                 h = xxhash.xxh3_128_intdigest((text or "").encode("utf-8", "surrogatepass"))
-                rows.append((i, (h >> 64) - (1 << 63), (h & (1 << 64) - 1) - (1 << 63), minhash(g).tobytes() if len(g) else None))
-            out = pd.DataFrame(rows, columns=["doc_id", "h1", "h2", "sig"])
-            yield out.astype({"doc_id": pdf["doc_id"].dtype})
+                rows.append(((h >> 64) - (1 << 63), (h & (1 << 64) - 1) - (1 << 63), minhash(g).tobytes() if len(g) else None))
+            yield pd.concat([pdf[["doc_id", "__row"]], pd.DataFrame(rows, columns=["h1", "h2", "sig"], index=pdf.index)], axis=1)
 
-    return scratch.write(docs.select("doc_id", "text").mapInPandas(sign, "doc_id long, h1 long, h2 long, sig binary"), "signed")
+    schema = "doc_id long, __row long, h1 long, h2 long, sig binary"
+    return scratch.write(docs.select("doc_id", "__row", "text").mapInPandas(sign, schema), "signed")
 
 
 def _bands(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -161,23 +161,14 @@ def _sketches(signed: DataFrame) -> DataFrame:
 
 
 def _gram_table(docs: DataFrame, wanted: DataFrame, scratch: Scratch) -> DataFrame:
-    """The gram sets of the wanted ``(id, doc_id, h1, h2)`` only, from a second reading of their texts."""
+    """The gram sets of the wanted ``(id, __row)`` only, from a second reading of their texts."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import xxhash
-
         for pdf in batches:
-            rows = []
-            for i, text, h1 in zip(pdf["id"], pdf["text"], pdf["h1"], strict=True):
-                if (xxhash.xxh3_128_intdigest((text or "").encode("utf-8", "surrogatepass")) >> 64) - (1 << 63) == h1:
-                    rows.append((i, grams(text).tobytes()))
-            yield pd.DataFrame(rows, columns=["id", "grams"]).astype({"id": "int64"})
+            yield pd.DataFrame({"id": pdf["id"], "grams": [grams(text).tobytes() for text in pdf["text"]]})
 
-    found = narrow(docs.select("doc_id", "text"), wanted.select("id", "doc_id", "h1"), ["doc_id"])
-    table = scratch.write(found.select("id", "text", "h1").mapInPandas(cut, "id long, grams binary"), "grams", tidy=True)
-    if table.count() > wanted.count():  # rows that repeat an id and its text
-        table = scratch.write(table.groupBy("id").agg(F.first("grams").alias("grams")), "grams", tidy=True)
-    return table
+    found = narrow(docs.select("__row", "text"), wanted.select("id", "__row"), ["__row"])
+    return scratch.write(found.select("id", "text").mapInPandas(cut, "id long, grams binary"), "grams", tidy=True)
 
 
 def prune(a: np.ndarray, b: np.ndarray, least: dict[int, int]) -> np.ndarray:
@@ -379,20 +370,25 @@ def ngram_join(docs: DataFrame, scratch: Scratch, threshold: float = THRESHOLD)
     gram sets are at least ``threshold`` similar (equal texts with words included), ``group_id`` the
     smallest doc_id reachable over links.
     """
+    return _joined(with_rows(docs.select("doc_id", "text"), scratch), scratch, threshold).drop("__row", "group_row")
+
+
+def _joined(docs: DataFrame, scratch: Scratch, threshold: float) -> DataFrame:
+    """``ngram_join`` of ``(doc_id, __row, text)`` with ``__row`` and ``group_row``, the first row reachable over links."""
     signed = _signed(docs, scratch)
     # a class is a group of equal texts
-    classes = signed.groupBy("h1", "h2").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies"), F.first("sig").alias("sig"))
+    classes = signed.groupBy("h1", "h2").agg(F.min("doc_id").alias("class_id"), F.min("__row").alias("class_row"), F.count("*").alias("copies"), F.first("sig").alias("sig"))
     classes = scratch.write(classes.withColumn("id", F.monotonically_increasing_id()), "classes", tidy=True)
     worded = classes.where("sig is not null")
     shared = share(worded.select("id", "sig").mapInPandas(_bands, "key long, id long"), scratch)
-    wanted = scratch.write(worded.select("id", F.col("class_id").alias("doc_id"), "h1").join(shared.select("id").distinct(), "id", "left_semi"), "wanted", tidy=True)
+    wanted = scratch.write(worded.select("id", F.col("class_row").alias("__row")).join(shared.select("id").distinct(), "id", "left_semi"), "wanted", tidy=True)
     gram_table = _gram_table(docs, wanted, scratch)
     near = scratch.write(worded.select("id", "sig").join(wanted, "id", "left_semi"), "near", tidy=True)
     large = _large(near, gram_table, scratch, threshold)
     comp = scratch.write(link(shared, _verifier(near, gram_table, scratch, threshold), _sketches(near), least_matches(threshold)[HASHES], scratch, large), "component")
     least = least_matches(threshold)
 
-    member = comp.join(classes.select("id", "class_id", "copies"), "id")
+    member = comp.join(classes.select("id", "class_id", "class_row", "copies"), "id")
     sizes = comp.groupBy("comp").agg(F.count("*").alias("m"))
     sizes = sizes.select("comp", _blocks(F.col("m")).alias("blocks"))
     blocked = member.join(sizes, "comp").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
@@ -401,13 +397,13 @@ def ngram_join(docs: DataFrame, scratch: Scratch, threshold: float = THRESHOLD)
     paired = paired.select("id", "copies", "comp", "block", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "sig", "grams")
     counted = paired.groupBy("comp", "bi", "bj").applyInPandas(lambda pdf: _count_block(pdf, threshold, least), "id long, links long")
     links = counted.groupBy("id").agg(F.sum("links").alias("links"))
-    group = member.groupBy("comp").agg(F.min("class_id").alias("group_id"))
-    linked = comp.join(group, "comp").join(links, "id", "left").select("id", "group_id", "links")
+    group = member.groupBy("comp").agg(F.min("class_id").alias("group_id"), F.min("class_row").alias("group_row"))
+    linked = comp.join(group, "comp").join(links, "id", "left").select("id", "group_id", "group_row", "links")
     facts = classes.join(linked, "id", "left").select(
-        "h1", "h2", "class_id", F.coalesce("group_id", "class_id").alias("group_id"),
+        "h1", "h2", "class_id", F.coalesce("group_id", "class_id").alias("group_id"), F.coalesce("group_row", "class_row").alias("group_row"),
         F.when(F.col("sig").isNotNull(), F.coalesce("links", F.lit(0)) + F.col("copies") - 1).otherwise(0).cast("long").alias("n_links"),
     )
-    return signed.select("doc_id", "h1", "h2").join(facts, ["h1", "h2"]).select("doc_id", "class_id", "n_links", "group_id")
+    return signed.select("doc_id", "__row", "h1", "h2").join(facts, ["h1", "h2"]).select("doc_id", "class_id", "n_links", "group_id", "__row", "group_row")
 
 
 def one_per_group(docs: DataFrame, scratch: Scratch, threshold: float = THRESHOLD) -> DataFrame:
@@ -415,8 +411,7 @@ def one_per_group(docs: DataFrame, scratch: Scratch, threshold: float = THRESHOL
 
     A row without words stays unless its text equals that of an earlier row.
     """
-    joined = ngram_join(docs, scratch, threshold)
-    keep = scratch.write(joined.where("doc_id = group_id").select("doc_id").distinct(), "kept")
-    kept = narrow(docs, keep, ["doc_id"]).select(*docs.columns)
-    ids = docs.select("doc_id")
-    return kept if ids.count() == ids.distinct().count() else kept.dropDuplicates(["doc_id"])
+    rows = with_rows(docs, scratch)
+    joined = _joined(rows.select("doc_id", "__row", "text"), scratch, threshold)
+    keep = scratch.write(joined.where("__row = group_row").select("__row"), "kept")
+    return narrow(rows, keep, ["__row"]).select(*docs.columns)

@@ -227,6 +227,21 @@ def test_ngram_join_in_large_buckets(spark, monkeypatch):
     assert [got[i].n_links for i in range(110)] == [len(x) for x in near]
 
 
+def test_null_and_repeated_ids_are_rows_of_their_own(spark):
+    """Rows under one id or none, with different texts: nothing unique goes, and copies among them do."""
+    a, b, c, d = (words(300 + i, 40) for i in range(4))
+    rows = [(None, a), (None, b), (None, a + " end"), (5, c), (5, d), (6, d)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = collections.Counter((x.doc_id, x.text) for x in ngram_join.one_per_group(df, scratch(spark)).collect())
+    one = {(None, a), (None, a + " end")} & set(kept)
+    assert len(one) == 1 and kept == collections.Counter([*one, (None, b), (5, c), (5, d)])
+    u = [words(400 + i, 30) for i in range(7)]
+    rows = [(None, f"{u[0]}\n{u[1]}\n{c}"), (None, f"{u[2]}\n{u[3]}\n{u[4]}"), (3, f"{u[5]}\n{c}"), (4, u[6]), (4, u[5])]
+    done = line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string"), scratch(spark)).collect()
+    want = [(None, f"{u[0]}\n{u[1]}"), (None, f"{u[2]}\n{u[3]}\n{u[4]}"), (3, f"{u[5]}\n{c}"), (4, u[6]), (4, "")]
+    assert collections.Counter((x.doc_id, x.text) for x in done) == collections.Counter(want)
+
+
 @pytest.mark.parametrize("blocks", [1, 2])
 def test_block_pairs_are_counted_in_bounded_tiles(monkeypatch, blocks):
     """A block of any size: no array of pairs beyond ``BLOCK`` by ``BLOCK``, and the links of brute force."""
