@@ -2,31 +2,34 @@
 
 from __future__ import annotations
 
-import random
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellweave.operators.aggregates import weighted_mean
 
+DRAWS = 2000
+SEED = 20_260_930
+
+
+def draw_weights(embryos: DataFrame, by: list[str], draws: int = DRAWS, seed: int = SEED) -> DataFrame:
+    """``(draw, *by, embryo_id, w)``: how often each embryo is drawn; a draw takes as many embryos of a group as it has, with replacement.
 
-def draw_weights(spark: SparkSession, embryos: list, draws: int, seed: int = 20_260) -> DataFrame:
-    """``(draw, embryo_id, w)``: how often each embryo is drawn, with replacement; small, bounded by draws x embryos."""
-    rng = random.Random(seed)
-    rows = []
-    for d in range(draws):
-        taken: dict = {}
-        for _ in embryos:
-            e = embryos[rng.randrange(len(embryos))]
-            taken[e] = taken.get(e, 0) + 1
-        rows += [(d, e, n) for e, n in sorted(taken.items())]
-    return spark.createDataFrame(rows, "draw int, embryo_id long, w int")
+    An embryo's place in its group is one slot of every draw; a seeded hash of draw, group and slot names the place that is
+    taken.  Slots are made and counted on the executors.
+    """
+    group = Window.partitionBy(*by)
+    placed = embryos.select(*by, "embryo_id").distinct()
+    placed = placed.withColumns({"slot": F.row_number().over(group.orderBy("embryo_id")) - 1, "n": F.count("*").over(group)})
+    slots = placed.select(*by, "slot", "n", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
+    taken = slots.select("draw", *by, F.pmod(F.xxhash64(F.lit(seed), "draw", *by, "slot"), "n").cast("int").alias("slot"))
+    counted = taken.groupBy("draw", *by, "slot").agg(F.count("*").cast("int").alias("w"))
+    return counted.join(placed.drop("n"), [*by, "slot"]).select("draw", *by, "embryo_id", "w")
 
 
 def interval(statistics: DataFrame, weights: DataFrame, by: list[str], level: float = 0.95) -> DataFrame:
     """Nearest-rank half-width of |draw mean - mean| around each group's mean; all draws are one join, not a loop."""
     observed = statistics.groupBy(*by).agg(F.avg("m").alias("mean"))
-    drawn = weighted_mean(statistics, weights, ["draw", *by]).select("draw", *by, F.col("mean").alias("drawn"))
+    drawn = weighted_mean(statistics, weights.drop(*by), ["draw", *by]).select("draw", *by, F.col("mean").alias("drawn"))
     off = drawn.join(observed, by).withColumn("off", F.abs(F.col("drawn") - F.col("mean")))
     half = off.groupBy(*by).agg(F.first("mean").alias("mean"), F.expr(f"percentile_disc({level}) within group (order by off)").alias("half_width"), F.count("*").alias("n_draws"))
     return half.withColumns({"low": F.col("mean") - F.col("half_width"), "high": F.col("mean") + F.col("half_width")})

@@ -331,10 +331,7 @@ def expression_bins(spark, d):
 @query(None)
 def bootstrap_interval(spark, d):
     s = _scores(spark, d).where("score is not null").groupBy("species", "embryo_id").agg(F.avg("score").alias("m"))
-    embryos = [r[0] for r in read(spark, d, "nation").select(F.col("n_nationkey").cast("long")).orderBy(1).collect()]
-    # the embryo blocks of the draw are nations here, so the schedule stays small whatever the data
-    stats = s.join(read(spark, d, "customer").select(F.col("c_custkey").alias("embryo_id"), F.col("c_nationkey").cast("long").alias("block")), "embryo_id").groupBy("species", F.col("block").alias("embryo_id")).agg(F.avg("m").alias("m"))
-    return bootstrap.interval(stats, bootstrap.draw_weights(spark, embryos, 200), ["species"])
+    return bootstrap.interval(s, bootstrap.draw_weights(s, ["species"]), ["species"])
 
 
 @query("""with d as (select a.vec_id as id, b.vec_id as neighbour, list_distance(a.embedding::double[], b.embedding::double[]) as distance from embeddings a, embeddings b where a.vec_id <> b.vec_id),

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cellweave.functions import identifiers
-from cellweave.operators import bins, joins, nulls, quality_control, ranking, sampling, vectors
+from cellweave.operators import bins, bootstrap, joins, nulls, quality_control, ranking, sampling, vectors
 from cellweave.sources import sinks, text_formats
 from cellweave.streaming import folds
 
@@ -107,3 +107,23 @@ def test_publish_never_overwrites(spark, tmp_path):
     sinks.publish(df, str(tmp_path / "t"))
     with pytest.raises(Exception, match="(?i)exists"):
         sinks.publish(df, str(tmp_path / "t"))
+
+
+def test_bootstrap_draws_real_embryos(spark):
+    """Every draw takes as many embryos of a species as it has, all embryos are drawn, and the draws differ."""
+    s = spark.createDataFrame([(g, i + 100 * (g == "b"), float(i)) for g, n in (("a", 40), ("b", 7)) for i in range(n)], "species string, embryo_id long, m double")
+    w = bootstrap.draw_weights(s, ["species"]).cache()
+    assert rows(w.groupBy("draw", "species").agg(F.sum("w").alias("n")).groupBy("species", "n").count()) == [("a", 40, 2000), ("b", 7, 2000)]
+    assert w.select("embryo_id").distinct().count() == 47
+    assert all(1900 < x.n < 2100 for x in w.where("species = 'a'").groupBy("embryo_id").agg(F.sum("w").alias("n")).collect())
+    got = {x.species: x for x in bootstrap.interval(s, w, ["species"]).collect()}
+    assert got["a"].n_draws == got["b"].n_draws == 2000
+    # 1.96 standard errors of the mean of 0..39, by the normal approximation
+    assert got["a"].mean == 19.5 and abs(got["a"].half_width - 1.96 * (1599 / 12 / 40) ** 0.5) < 0.3
+
+
+def test_bootstrap_query_has_all_draws(spark):
+    from cellweave.plans import registry
+
+    got = registry.QUERIES["bootstrap_interval"](spark, "/root/testdata/sf0.001").collect()
+    assert got and {x.n_draws for x in got} == {2000}
