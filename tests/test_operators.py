@@ -127,3 +127,19 @@ def test_bootstrap_query_has_all_draws(spark):
 
     got = registry.QUERIES["bootstrap_interval"](spark, "/root/testdata/sf0.001").collect()
     assert got and {x.n_draws for x in got} == {2000}
+
+
+def test_whole_queries_read_every_row(spark):
+    """Their results cover all cells, pairs and orders of the tables."""
+    from cellweave.plans import registry
+
+    d = "/root/testdata/sf0.001"
+    l, o = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("lineitem", "orders"))
+    run = lambda name: registry.QUERIES[name](spark, d)
+    assert run("pooled_gene_embeddings_whole").count() == l.select("l_orderkey").distinct().count()
+    pairs = l.selectExpr("l_partkey * 100 + l_orderkey % 100 as a", "l_suppkey * 1000 + l_orderkey % 1000 as b").distinct().count()
+    told = {x.reason: x.n for x in run("conversion_ambiguity_whole").collect()}
+    assert sum(told.values()) == pairs and len(told) == 3
+    assert 0 < run("strict_bijection_whole").count() <= told["one_to_one"]
+    assert run("bridge_composition_whole").count() > o.where("o_orderkey % 13 = 0").count()
+    assert run("interval_overlap_whole").where("hit % 3 = 2").count() > 0
