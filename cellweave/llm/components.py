@@ -1,6 +1,6 @@
 """Connected components and component-wise linking, shared by the near-duplicate operators.
 
-Both are plain DataFrame plans.  State between rounds lives in written tables (``storage.Scratch``);
+All are plain DataFrame plans.  State between rounds lives in written tables (``storage.Scratch``);
 the driver only ever sees counts.
 """
 
@@ -13,6 +13,26 @@ from pyspark.sql import functions as F
 
 from cellweave.storage import Scratch
 
+#: Largest broadcast side, in estimated bytes; beyond it the same join shuffles.
+SMALL_BYTES = 16 << 20
+#: One id in so many is drawn to find hot buckets; a bucket with ``HOT`` drawn members or more is split in parts of about ``PART``.
+DRAWN, HOT, PART = 64, 16, 1024
+#: Shuffled orders in which the members of open buckets are tested against their neighbours.
+SWEEPS = 3
+#: A further order is tried while one link is found for so many open memberships.
+WORTH = 50
+
+
+def small(table: DataFrame, width: int) -> DataFrame:
+    """The table with a broadcast hint if its rows of about ``width`` bytes are surely few; unchanged otherwise."""
+    most = SMALL_BYTES // width
+    return F.broadcast(table) if table.limit(most + 1).count() <= most else table
+
+
+def narrow(big: DataFrame, ids: DataFrame, on: list[str], width: int = 48) -> DataFrame:
+    """Inner join of a large table with few rows: by broadcast while ``ids`` is small, else by shuffle."""
+    return big.join(small(ids, width), on)
+
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """Distributed union-find: ``edges(a, b)`` -> ``(id, comp)`` with the smallest id of each component.
@@ -49,81 +69,101 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
             return labels
 
 
-def share(members: DataFrame, scratch: Scratch) -> DataFrame:
-    """Bucket memberships ``(key, id)`` -> written ``(key, id, prev, head)`` of the buckets with two ids or more.
+def merged(comp: DataFrame, found: DataFrame, scratch: Scratch) -> DataFrame:
+    """Components ``(id, comp)`` after more edges ``(a, b)``: only the graph of the components is walked again."""
+    ends = found.select(F.col("a").alias("id")).union(found.select(F.col("b").alias("id"))).distinct()
+    named = scratch.write(ends.join(comp, "id", "left").select("id", F.coalesce("comp", "id").alias("comp"), F.col("comp").isNull().alias("alone")), "named")
+    of = named.select("id", "comp")
+    between = found.join(of.toDF("a", "x"), "a").join(of.toDF("b", "y"), "b").where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
+    top = components(between, scratch).toDF("comp", "top")
+    every = comp.select("id", "comp").union(named.where("alone").select("id", "comp"))
+    return scratch.write(every.join(small(top, 32), "comp", "left").select("id", F.coalesce("top", "comp").alias("comp")), "component")
 
-    ``prev`` is the next smaller id of the bucket (null for its first) and ``head`` the smallest.
-    One shuffle; a bucket of any size streams through its window.
+
+def share(members: Callable[[DataFrame], DataFrame], rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """Bucket memberships -> written ``(key, id, prev, head, parts)`` of the buckets with two ids or more.
+
+    ``members`` makes ``(key, id)`` of ``rows(id, ...)``.  ``prev`` is the next smaller id of the bucket, or of its
+    part, and ``head`` the smallest id of the bucket.  Buckets that a sample by hash shows to be hot are dealt out in
+    ``parts``, so no window holds one whole; their heads come from an aggregation that is merged map-side.
     """
-    by_key = Window.partitionBy("key").orderBy("id")
-    ranked = members.select("key", "id", F.lag("id").over(by_key).alias("prev"), F.lead("id").over(by_key).alias("next"), F.first("id").over(by_key).alias("head"))
-    return scratch.write(ranked.where("prev is not null or next is not null").select("key", "id", "prev", "head"), "shared", tidy=True)
+    drawn = members(rows.where(F.pmod(F.xxhash64("id", F.lit(7)), F.lit(DRAWN)) == 0))
+    hot = drawn.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= HOT)
+    hot = scratch.write(hot.select("key", F.greatest(F.lit(2), F.ceil(F.col("n") * DRAWN / PART)).cast("int").alias("parts")), "hot")
+    every = members(rows).select("key", "id")
+    if not hot.limit(1).count():
+        placed = every.withColumns({"parts": F.lit(1), "top": F.lit(None).cast("long")})
+    else:
+        heads = scratch.write(every.join(small(hot, 48), "key").groupBy("key").agg(F.first("parts").alias("parts"), F.min("id").alias("top")), "heads")
+        placed = every.join(small(heads, 56), "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    placed = placed.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    by_key = Window.partitionBy("key", "part").orderBy("id")
+    ranked = placed.select("key", "id", "parts", "top", F.lag("id").over(by_key).alias("prev"), F.lead("id").over(by_key).alias("next"), F.first("id").over(by_key).alias("first"))
+    kept = ranked.where("prev is not null or next is not null or (parts > 1 and id <> top)")
+    return scratch.write(kept.select("key", "id", "prev", F.coalesce("top", "first").alias("head"), "parts"), "shared")
+
+
+def link(shared: DataFrame, verify: Callable[[DataFrame], DataFrame], large: Callable[[DataFrame], DataFrame], scratch: Scratch) -> DataFrame:
+    """Components of all verified pairs that share a bucket, without a row for each pair of a bucket.
 
+    ``shared`` comes from ``share``; ``verify`` keeps the pairs ``(a, b)`` that are truly similar; ``large`` takes
+    memberships ``(key, id, comp, parts)`` of open buckets and returns verified pairs that unite all their similar members.
 
-TILE = 64
-SMALL = 16
-SWEEPS = 2
+    First every member is tested against its bucket's head and its predecessor: two rows a membership.  That is every pair of
+    a bucket of up to three.  A bucket is open while it has more members than that and more than one component.  Members
+    of open buckets are tested against a neighbour of another component in up to ``SWEEPS`` shuffled orders, which unites most
+    groups.  What is still open goes to ``large``.  So every pair of every bucket is tested, or joins one component already.
+    Returns written ``(id, comp)`` for ids in a component of two or more.
+    """
+    pairs = shared.where("prev is not null").select(F.col("prev").alias("a"), F.col("id").alias("b")).union(shared.select(F.col("head").alias("a"), F.col("id").alias("b")))
+    comp = components(scratch.write(verify(pairs.where("a <> b").distinct()), "edges"), scratch)
+    left, little = shared.select("key", "id", "parts"), False
+    for sweep in range(SWEEPS + 1):
+        now = left.join(comp, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"), "parts")
+        still = now.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n"), F.max("parts").alias("most")).where("low < high and (n > 3 or most > 1)").select("key")
+        before, left = left, scratch.write(now.join(still, "key", "left_semi"), "open")
+        if sweep:
+            scratch.drop(before)
+        members = left.count()
+        if not members:
+            return comp
+        if sweep == SWEEPS or little:
+            break
+        order = Window.partitionBy("key", F.pmod(F.xxhash64("id", F.lit(sweep)), F.col("parts"))).orderBy(F.xxhash64("id", F.lit(sweep), F.lit(1)), "id")
+        near = left.select("id", "comp", F.lag("id").over(order).alias("prev"), F.lag("comp").over(order).alias("before"))
+        across = near.where("comp <> before").select(F.least("id", "prev").alias("a"), F.greatest("id", "prev").alias("b")).distinct()
+        found = scratch.write(verify(across), "edges")
+        united = found.count()
+        if united:
+            comp = merged(comp, found, scratch)
+        little = united * WORTH < members  # most of what is open is truly apart
+        left = left.drop("comp")
+    found = scratch.write(large(left), "edges")
+    return merged(comp, found, scratch) if found.limit(1).count() else comp
 
 
-def _by_component(shared: DataFrame, comp: DataFrame) -> DataFrame:
-    """Memberships with the component of each id, its own where it has none yet."""
-    return shared.select("key", "id").join(comp, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
+def tiled(members: DataFrame, weight: str, most: int) -> DataFrame:
+    """Memberships ``(key, id, comp, parts, ...)`` with ``slab``, a number such that a slab's rows weigh ``most`` at most, or are one row.
 
+    Members stand by component inside each part of a bucket, so most slabs hold one component only; see ``slab_pairs``.
+    """
+    part = F.pmod(F.xxhash64("id"), F.col("parts")).cast("long")
+    order = Window.partitionBy("key", part).orderBy("comp", "id")
+    start = F.sum(weight).over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col(weight)
+    return members.withColumn("slab", part * F.lit(1 << 32) + F.floor(start / most).cast("long"))
 
-def link(
-    shared: DataFrame, verify: Callable[[DataFrame], DataFrame], sketch: DataFrame, least: int, scratch: Scratch, large: Callable[[DataFrame], DataFrame] | None = None
-) -> DataFrame:
-    """Components of all verified pairs that share a bucket, without a row for each pair of a bucket.
 
-    ``shared`` comes from ``share``; ``verify`` keeps the pairs ``(a, b)`` that are truly similar; ``sketch(id, k)``
-    holds a small array for each id, of which similar ids have at least ``least`` elements in common.
+def slab_pairs(slabs: DataFrame) -> DataFrame:
+    """Written slabs ``(key, slab, low, high)`` -> pairs ``(key, slab, other)`` of slabs that hold more than one component between them.
 
-    First every member is tested against its bucket's first member and its predecessor: two rows a
-    membership, which unites most groups; then against its predecessor in ``SWEEPS`` shuffled orders.  A pair inside one component needs no test any more.  What is left, the pairs across
-    components, is compared by sketches in tiles of ``TILE`` members: a row is a pair of tiles, and only pairs that
-    pass leave it for ``verify``.  So every pair of every bucket is tested or needless.
-    Where ``large`` is given it takes the buckets of more than ``SMALL`` members, as ``(key, id, comp)``, and returns
-    verified pairs that unite all their similar members.
-    Returns ``(id, comp)`` for ids in a component of two or more.
+    A slab is a bounded number of members, so its row number within the bucket grows slowly; the pairs of one slab are one row's array.
     """
-    first = shared.where("prev is not null")
-    pairs = first.select(F.col("prev").alias("a"), F.col("id").alias("b")).union(first.select(F.col("head").alias("a"), F.col("id").alias("b")))
-    edges = scratch.write(verify(pairs.where("a <> b").distinct()), "edges", tidy=True)
-    comp = components(edges, scratch)
-    for sweep in range(SWEEPS):
-        placed = _by_component(shared, comp)
-        shuffled = Window.partitionBy("key").orderBy(F.xxhash64("id", F.lit(sweep)), "id")
-        near = placed.select("id", "comp", F.lag("id").over(shuffled).alias("prev"), F.lag("comp").over(shuffled).alias("before"))
-        across = near.where("comp <> before").select(F.least("id", "prev").alias("a"), F.greatest("id", "prev").alias("b")).distinct()
-        found = scratch.write(verify(across), "edges", tidy=True)
-        if not found.limit(1).count():
-            break
-        edges = scratch.write(edges.select("a", "b").union(found.select("a", "b")), "edges")
-        comp = components(edges, scratch)
-    now = _by_component(shared, comp)
-    parts = now.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("members")).where("low < high").select("key", "members")
-    if large is not None:
-        parts = scratch.write(parts, "parts", tidy=True)
-        big = large(now.join(parts.where(F.col("members") > SMALL).select("key"), "key"))
-        parts = parts.where(F.col("members") <= SMALL)
-    order = Window.partitionBy("key").orderBy("comp", "id")
-    placed = now.join(parts, "key").withColumn("tile", F.floor((F.row_number().over(order) - 1) / TILE).cast("int"))
-    tiles = placed.join(sketch.select("id", "k"), "id").groupBy("key", "tile").agg(F.collect_list(F.struct("id", "comp", "k")).alias("m"))
-    tiles = scratch.write(tiles, "tiles", tidy=True)
-    count = tiles.groupBy("key").agg((F.max("tile") + 1).alias("n"))
-    left = tiles.join(count, "key").select("key", F.col("m").alias("x"), "tile", F.explode(F.sequence("tile", F.col("n") - 1)).alias("other"))
-    right = tiles.select("key", F.col("tile").alias("other"), F.col("m").alias("y"))
-    close = F.expr(
-        f"""flatten(transform(x, p -> transform(filter(y, q -> p.comp <> q.comp and (tile < other or p.id < q.id)
-        and size(array_intersect(p.k, q.k)) >= least({least}, size(p.k) div 2)), q -> named_struct('a', least(p.id, q.id), 'b', greatest(p.id, q.id)))))"""
-    )
-    tested = left.join(right, ["key", "other"]).select(F.explode(close).alias("p")).select("p.a", "p.b")
-    found = verify(tested.distinct())
-    found = scratch.write(found if large is None else found.select("a", "b").union(big), "edges", tidy=True)
-    scratch.drop(tiles)
-    if not found.limit(1).count():
-        return comp
-    return components(scratch.write(edges.select("a", "b").union(found.select("a", "b")), "edges"), scratch)
+    numbered = slabs.select("key", "slab", "low", "high", (F.row_number().over(Window.partitionBy("key").orderBy("slab")) - 1).alias("i"))
+    count = numbered.groupBy("key").agg(F.max("i").alias("last"))
+    left = numbered.join(count, "key").withColumn("j", F.explode(F.sequence("i", "last")))
+    right = numbered.select("key", F.col("slab").alias("other"), F.col("low").alias("low_y"), F.col("high").alias("high_y"), F.col("i").alias("j"))
+    mixed = F.expr("low < high or low_y < high_y or low <> low_y")
+    return left.join(right, ["key", "j"]).where(mixed).select("key", "slab", "other")
 
 
 def with_rows(docs: DataFrame, scratch: Scratch) -> DataFrame:
@@ -136,12 +176,7 @@ def with_rows(docs: DataFrame, scratch: Scratch) -> DataFrame:
     if n[0] == n[1] == n[2]:
         return docs.withColumn("__row", F.col("doc_id"))
     placed = docs.withColumn("__row", F.monotonically_increasing_id()).orderBy(F.col("doc_id").asc_nulls_last(), "__row")
-    return scratch.write(placed.withColumn("__row", F.monotonically_increasing_id()), "rows", tidy=True)
-
-
-def narrow(big: DataFrame, ids: DataFrame, on: list[str], most: int = 1_000_000) -> DataFrame:
-    """Inner join of a large table with few rows: by broadcast while ``ids`` has ``most`` rows or fewer, else by shuffle."""
-    return big.join(F.broadcast(ids) if ids.count() <= most else ids, on)
+    return scratch.write(placed.withColumn("__row", F.monotonically_increasing_id()), "rows")
 
 
 def only_used(table: DataFrame, pairs: DataFrame) -> DataFrame:

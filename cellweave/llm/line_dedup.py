@@ -1,19 +1,23 @@
 """Fuzzy line deduplication: one line stays of each group of near-equal lines, over all documents.
 
 Native: DataFrame expressions only.  A text is split at line feeds; a line is compared in lower case
-without outer spaces.  Its set is that of its character shingles (``Q`` characters; a shorter line is one
-shingle).  Two lines are near when the Jaccard similarity of their sets is ``threshold`` or more.
+without outer white space.  Its set is that of its character shingles (``Q`` UTF-16 units; a shorter line has none and is
+near its equals only).  Two lines are near when the Jaccard similarity of their sets is ``threshold`` or more.
 
 1. Equal lines form one class by a 128-bit hash; only hashes and positions are shuffled.
-2. Each class has MinHash values over all its shingles.  A shingle is hashed once to 64 bits; the values are minima of
-   further hashes of it, one for each mask.  ``BANDS`` bands of ``ROWS`` values give a recall of 0.993 at a similarity of
-   0.8, more above.
-3. ``components.link`` tests candidates on their whole shingle sets and unites them; large buckets are compared
-   a pair of tiles at a time, and a line gives one verified link for each other component.
+2. Each class has ``VALUES`` MinHash values over all its shingles.  A shingle is hashed to 64 bits; the values are minima of
+   multiply-shift hashes of that.  The values are the points of the affine plane of nine points and the bands its twelve
+   lines: any five matching values hold a line, so a pair of similarity 0.8 meets with probability 0.990, one of 0.85
+   with 0.997.  (Twelve disjoint bands of three would need 36 values.)
+3. ``components.link`` tests candidates on their whole shingle sets and unites them.  Set sizes and the least hashes of each
+   set leave out pairs that are surely not near (wrongly one in a million).  The members of a large bucket are held as
+   differences from the bucket's first line, so two of them are compared exactly by their few differing shingles.
 4. Of each component, the line first in (doc_id, row, position) stays; blank lines always stay.
 
 Nulls: a null text has no lines and stays null; a null doc_id comes last.  Rows that repeat a doc_id, or have
-none, are documents of their own, in no set order among themselves.  An empty table gives an empty result.  Extra columns ride along untouched; what the operator adds is one struct, ``line_dedup``.
+none, are documents of their own, in no set order among themselves.  An empty table gives an empty result.  Extra columns
+ride along untouched; what the operator adds is one struct, ``line_dedup``, which replaces a column of that name.
+Columns named ``gone`` or starting with ``__`` are used inside and must not come in.
 """
 
 from __future__ import annotations
@@ -21,145 +25,169 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cellweave.llm.components import link, narrow, only_used, share, with_rows
+from cellweave.llm.components import SMALL_BYTES, link, narrow, only_used, share, slab_pairs, small, tiled, with_rows
 from cellweave.storage import Scratch
 
 Q = 9
-BANDS, ROWS = 7, 3
+VALUES = 9
+#: The twelve lines of the affine plane over three elements, as points 3 x + y.
+BANDS = [(3 * x, 3 * x + 1, 3 * x + 2) for x in range(3)] + [tuple(3 * x + (a * x + b) % 3 for x in range(3)) for a in range(3) for b in range(3)]
+THRESHOLD = 0.8
+#: Weight of a slab of a large bucket: a member weighs 1, and 1 more for each ``SHINGLES`` differing shingles.
+SLAB, SHINGLES = 256, 512
+#: Members of a bucket whose likely pairs may leave it as rows.
+MIDDLE = 32
 #: Least hashes kept of each set, and how many must agree: at 0.8 fewer do with a chance of a millionth.
 SKETCH, AGREE = 24, 12
-THRESHOLD = 0.8
-#: Lines of a large bucket that are compared as one block.
-TILE = 256
-#: Xor masks, each the seed of one hash function: what is hashed is a shingle's hash under the mask.
-MASKS = [((i * 0x9E3779B97F4A7C15) ^ (i << 59)) & (1 << 64) - 1 for i in range(1, BANDS * ROWS + 1)]
+#: Odd multipliers, one a hash function.
+FACTORS = [(i * 0x9E3779B1) % (1 << 31) | 1 for i in range(1, VALUES + 1)]
+WORD = (1 << 32) - 1
 
 
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
+def lines_of(docs: DataFrame) -> DataFrame:
+    """``(__row, text)`` -> ``(__row, pos, line)`` with lines as they are compared; blank lines are left out."""
+    lines = docs.select("__row", F.posexplode(F.split(F.lower("text"), "\n")).alias("pos", "line"))
+    return lines.select("__row", "pos", _trim("line").alias("line")).where("line <> ''")
 
 
-def shingles(line: str, q: int = Q) -> Column:
-    """All character shingles of a line column, repeats included."""
-    return F.expr(f"if(length({line}) < {q}, array({line}), regexp_extract_all({line}, '(?s)(?=(.{{{q}}}))', 1))")
+def _trim(line: str) -> Column:
+    return F.expr(f"trim(both ' \\t\\r' from {line})")
 
 
-def full(line: str, q: int = Q) -> Column:
-    """The shingles of a line of ``q`` characters or more; a shorter line has none (it is near its equals only, which are one class)."""
-    return F.expr(f"regexp_extract_all({line}, '(?s)(?=(.{{{q}}}))', 1)")
+def _hashes() -> list[Column]:
+    return [F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(17), "line").alias("h2")]
 
 
-def lines_of(docs: DataFrame, *more: str) -> DataFrame:
-    """``(__row, text)`` -> ``(__row, pos, line)`` with lines as they are compared; blank lines are left out."""
-    # cleaned once before the generator, so later expressions read an attribute and never redo the work
-    clean = F.replace(F.replace(F.lower("text"), F.lit("\r"), F.lit(" ")), F.lit("\t"), F.lit(" "))
-    lines = F.transform(F.split(clean, "\n"), lambda x: F.trim(x))
-    return docs.select("__row", *more, F.posexplode(lines).alias("pos", "line")).where("line <> ''")
+def signed(docs: DataFrame) -> DataFrame:
+    """``(h1, h2, m0, m1, ...)``, a row for each distinct line of ``Q`` characters or more.
 
+    Shingles are cut from two-byte characters, so each is a slice of bytes.  The minima are grouped by the line's hash, so
+    one hash aggregation (merged map-side) yields both the classes and their signatures.
+    """
+    coded = lines_of(docs).select(*_hashes(), F.encode("line", "UTF-16BE").alias("c")).where(f"octet_length(c) >= {2 * Q}")
+    cut = coded.select("h1", "h2", "c", F.explode(F.expr(f"sequence(1, octet_length(c) - {2 * Q - 1}, 2)")).alias("i"))
+    hashed = cut.select("h1", "h2", F.expr(f"xxhash64(substring(c, i, {2 * Q})) & 2147483647").alias("x"))
+    return hashed.groupBy("h1", "h2").agg(*[F.min((F.col("x") * F.lit(a)).bitwiseAND(F.lit(WORD))).alias(f"m{i}") for i, a in enumerate(FACTORS)])
 
-def _hashes() -> list[Column]:
-    return [F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(17), "line").alias("h2")]
 
+def _keys() -> Column:
+    return F.array(*[F.xxhash64(F.lit(b), *[f"m{i}" for i in band]) for b, band in enumerate(BANDS)])
 
-def classes_of(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """Written ``(id, h1, h2, first_doc, keys)``, a row for each distinct line; ``keys`` are its bands.
 
-    The minima are grouped by the line itself, so one hash aggregation (merged map-side) yields both the
-    classes and their signatures.
-    """
-    lines = lines_of(docs).select("__row", *_hashes(), F.explode(full("line")).alias("shingle"))
-    lines = lines.select("__row", "h1", "h2", F.xxhash64("shingle").alias("h"))
-    minima = [F.min(F.xxhash64(F.col("h").bitwiseXOR(F.lit(_signed(m))))).alias(f"m{i}") for i, m in enumerate(MASKS)]
-    signed = lines.groupBy("h1", "h2").agg(F.min("__row").alias("first_doc"), *minima)
-    bands = F.array(*[F.xxhash64(F.lit(b), *[f"m{b * ROWS + r}" for r in range(ROWS)]) for b in range(BANDS)])
-    return scratch.write(signed.select(F.monotonically_increasing_id().alias("id"), "h1", "h2", "first_doc", bands.alias("keys")), "classes", tidy=True)
+def _members(classes: DataFrame) -> DataFrame:
+    return classes.select("id", F.explode(_keys()).alias("key")).select("key", "id")
 
 
-def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The lines of the wanted classes ``(id, h1, first_doc)``, each from its first document: ``(id, line)``."""
-    by_doc = wanted.groupBy(F.col("first_doc").alias("__row")).agg(F.collect_list("h1").alias("hs"), F.collect_list("id").alias("ids"))
-    found = lines_of(narrow(docs.select("__row", "text"), by_doc, ["__row"]), "hs", "ids").withColumn("at", F.array_position("hs", F.xxhash64("line")))
-    return found.where("at > 0").select(F.expr("ids[cast(at as int) - 1]").alias("id"), "line").groupBy("id").agg(F.min("line").alias("line"))
+def _set(coded: str) -> Column:
+    """The distinct shingle hashes of a line of ``Q`` characters or more, as two-byte characters.
 
+    The bytes are bound to a variable of an outer function, as the inner one would copy a column's bytes for each shingle.
+    """
+    return F.expr(f"array_distinct(transform(array({coded}), c -> transform(sequence(1, octet_length(c) - {2 * Q - 1}, 2), i -> xxhash64(substring(c, i, {2 * Q}))))[0])")
 
-def _set(line: str) -> Column:
-    """The distinct shingle hashes of a line."""
-    return F.array_distinct(F.transform(shingles(line), lambda x: F.xxhash64(x)))
 
+def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The lines of ``wanted(id, __row, pos)``, each read at one place: ``(id, coded)``, in two-byte characters."""
+    by_doc = wanted.groupBy("__row").agg(F.collect_list(F.struct("pos", "id")).alias("at"))
+    found = narrow(docs.select("__row", "text"), by_doc, ["__row"], 256)
+    cut = found.select(F.split("text", "\n").alias("lines"), "at").select(F.inline(F.expr("transform(at, a -> struct(a.id as id, lines[a.pos] as line))")))
+    return cut.select("id", F.lower("line").alias("line")).select("id", F.encode(_trim("line"), "UTF-16BE").alias("coded"))
 
-def _verifier(sets: DataFrame, scratch: Scratch, threshold: float):
-    """Pairs whose shingle sets are near; ``sets(id, line, n, k)`` holds the candidates, the number of their shingles and the least shingle hashes."""
-    size_a, size_b = F.size("s_a"), F.size("s_b")
-    common = F.size(F.array_intersect("s_a", "s_b"))
-    # only sketches travel until a pair passes
-    likely = F.size(F.array_intersect("k_a", "k_b")) >= F.least(F.lit(AGREE), F.floor(F.size("k_a") / 2))
 
-    def side(columns: dict[str, str], of: DataFrame = sets) -> DataFrame:
-        return of.select(*[F.col(c).alias(n) for c, n in columns.items()])
+def _verifier(lines: DataFrame, scratch: Scratch, threshold: float):
+    """Pairs whose shingle sets are near; ``lines(id, coded, n, k)`` holds the candidates, the sizes of their sets and the least shingle hashes."""
 
     def verify(pairs: DataFrame) -> DataFrame:
-        fit = pairs.join(side({"id": "a", "n": "n_a", "k": "k_a"}), "a").join(side({"id": "b", "n": "n_b", "k": "k_b"}), "b")
-        fit = fit.where((F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b") - 1e-9) & likely).select("a", "b")
-        fit = scratch.write(fit, "fit", tidy=True)
-        used = only_used(sets, fit)
+        sized = lines.select("id", "n", "k")
+        fit = pairs.join(sized.toDF("a", "n_a", "k_a"), "a").join(sized.toDF("b", "n_b", "k_b"), "b")
+        # only sketches travel until a pair may pass
+        likely = f"least(n_a, n_b) >= {threshold} * greatest(n_a, n_b) - 1e-9 and size(array_intersect(k_a, k_b)) >= least({AGREE}, size(k_a) div 2)"
+        fit = scratch.write(fit.where(likely).select("a", "b", "n_a", "n_b"), "pairs")
+        used = only_used(lines.select("id", "coded"), fit)
         # whole lines travel, about a tenth of their sets; the sets are made where both lines are
-        both = fit.join(side({"id": "a", "line": "l_a"}, used), "a").join(side({"id": "b", "line": "l_b"}, used), "b")
-        near = both.select("a", "b", _set("l_a").alias("s_a"), _set("l_b").alias("s_b"))
-        near = near.select("a", "b", common.alias("common"), (size_a + size_b).alias("total"))
-        return near.where(F.col("common") >= threshold * (F.col("total") - F.col("common")) - 1e-9).select("a", "b")
+        both = fit.join(used.toDF("a", "l_a"), "a").join(used.toDF("b", "l_b"), "b")
+        sets = both.select("a", "b", "n_a", "n_b", _set("l_a").alias("s_a"), _set("l_b").alias("s_b"))
+        # a generator, as a filter would be pushed down and make the sets once more
+        near = f"filter(array(struct(a, b, size(array_intersect(s_a, s_b)) as common)), x -> x.common >= {threshold} * (n_a + n_b - x.common) - 1e-9)"
+        return sets.select(F.inline(F.expr(near))).select("a", "b")
 
     return verify
 
 
-def _large(classes: DataFrame, sets: DataFrame, scratch: Scratch, threshold: float):
-    """Links of large buckets for ``components.link``: sketches and whole sets are compared inside the row of a pair of tiles.
+def _large(classes: DataFrame, lines: DataFrame, scratch: Scratch, threshold: float):
+    """Links of large buckets for ``components.link``, compared inside the row of a pair of slabs.
 
-    A pair is tested in the first bucket that it shares.
+    With B the set of the bucket's first line, a member is held as ``minus`` (B without it) and ``plus`` (it without B):
+    two members have |B| - |minus u minus'| + |plus n plus'| shingles in common.  A pair is tested in the first bucket
+    that it shares: ``early`` are a member's keys before this one.
     """
 
-    def large(placed: DataFrame) -> DataFrame:
-        order = Window.partitionBy("key").orderBy("comp", "id")
-        tiled = placed.withColumn("tile", F.floor((F.row_number().over(order) - 1) / TILE).cast("int"))
-        ids = scratch.write(placed.select("id").distinct(), "ids")
-        whole = narrow(sets, ids, ["id"]).select("id", "n", "k", _set("line").alias("s"))
-        whole = scratch.write(narrow(classes.select("id", "keys"), ids, ["id"]).join(whole, "id"), "whole", tidy=True)
-        tiles = tiled.join(whole, "id").groupBy("key", "tile").agg(F.collect_list(F.struct("id", "comp", "keys", "n", "k", "s")).alias("m"))
-        tiles = scratch.write(tiles, "tiles", tidy=True)
-        count = tiles.groupBy("key").agg((F.max("tile") + 1).alias("n"))
-        left = tiles.join(count, "key").select("key", F.col("m").alias("x"), "tile", F.explode(F.sequence("tile", F.col("n") - 1)).alias("other"))
-        right = tiles.select("key", F.col("tile").alias("other"), F.col("m").alias("y"))
-        common = "cast(size(array_intersect(p.s, q.s)) as double)"
-        near = f"""filter(y, q -> p.comp <> q.comp and (tile < other or p.id < q.id)
-            and least(p.n, q.n) >= {threshold} * greatest(p.n, q.n) - 1e-9
-            and size(array_intersect(p.k, q.k)) >= least({AGREE}, size(p.k) div 2)
-            and array_intersect(p.keys, q.keys)[0] = key
-            and {common} >= {threshold} * (p.n + q.n - {common}) - 1e-9)"""
+    def middle(left: DataFrame) -> DataFrame:
+        """Buckets of up to ``MIDDLE`` members: pairs of members that may be near, by size and sketch."""
+        sized = left.join(lines.select("id", "n", "k"), "id")
+        held = sized.groupBy("key").agg(F.collect_list(F.struct("id", "comp", "n", "k")).alias("x"))
+        likely = f"""filter(x, q -> p.comp <> q.comp and p.id < q.id and least(p.n, q.n) >= {threshold} * greatest(p.n, q.n) - 1e-9
+            and size(array_intersect(p.k, q.k)) >= least({AGREE}, size(p.k) div 2))"""
+        pairs = F.expr(f"flatten(transform(x, p -> transform({likely}, q -> named_struct('a', p.id, 'b', q.id))))")
+        return _verifier(lines, scratch, threshold)(held.select(F.inline(pairs)).distinct())
+
+    def large(left: DataFrame) -> DataFrame:
+        many = left.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > MIDDLE).select("key")
+        many = small(scratch.write(many, "many"), 24)
+        few = scratch.write(middle(left.join(many, "key", "left_anti")), "edges")
+        return few.union(hot(left.join(many, "key", "left_semi")))
+
+    def hot(left: DataFrame) -> DataFrame:
+        ids = scratch.write(left.select("id").distinct(), "ids")
+        whole = narrow(lines.select("id", "coded"), ids, ["id"]).join(narrow(classes, ids, ["id"]).select("id", _keys().alias("keys")), "id")
+        whole = scratch.write(whole, "whole")
+        heads = left.groupBy("key").agg(F.min("id").alias("head"))
+        heads = heads.join(whole.select(F.col("id").alias("head"), F.col("coded").alias("base")), "head").select("key", "base")
+        full = left.join(whole, "id").join(small(heads, 4096), "key").select("key", "id", "comp", "parts", F.expr("slice(keys, 1, cast(array_position(keys, key) as int) - 1)").alias("early"), _set("coded").alias("s"), _set("base").alias("b"))
+        full = full.select("key", "id", "comp", "parts", "early", F.size("s").alias("n"), F.size("b").alias("nb"), F.array_except("b", "s").alias("minus"), F.array_except("s", "b").alias("plus"))
+        full = full.withColumns({"sm": F.size("minus"), "sp": F.size("plus")})
+        placed = scratch.write(full, "placed").withColumn("w", F.expr(f"1 + (sm + sp) div {SHINGLES}"))
+        slabs = tiled(placed, "w", SLAB).groupBy("key", "slab").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.first("nb").alias("nb"), F.collect_list(F.struct("id", "comp", "n", "sm", "sp", "early", "minus", "plus")).alias("x"))
+        slabs = scratch.write(slabs, "slabs")
+        met = slab_pairs(slabs).join(slabs.select("key", "slab", "nb", "x"), ["key", "slab"]).join(slabs.select("key", F.col("slab").alias("other"), F.col("x").alias("y")), ["key", "other"])
+        need = f"{threshold / (1 + threshold)} * (p.n + q.n) - 1e-9"
+        near = f"""filter(y, q -> p.comp <> q.comp and (slab < other or p.id < q.id)
+            and nb - greatest(p.sm, q.sm) + least(p.sp, q.sp) >= {need}
+            and not arrays_overlap(p.early, q.early)
+            and nb - p.sm - q.sm + size(array_intersect(p.minus, q.minus)) + size(array_intersect(p.plus, q.plus)) >= {need})"""
         # of a line's links with one other component the first is enough
         once = f"""transform(array(transform({near}, q -> struct(q.comp as c, q.id as b))),
             z -> filter(z, (q, i) -> array_position(transform(z, w -> w.c), q.c) = i + 1))[0]"""
         links = F.expr(f"flatten(transform(x, p -> transform({once}, q -> named_struct('a', least(p.id, q.b), 'b', greatest(p.id, q.b)))))")
-        found = left.join(right, ["key", "other"]).select(F.explode(links).alias("p")).select("p.a", "p.b")
-        found = scratch.write(found, "found", tidy=True)
-        scratch.drop(tiles)
-        scratch.drop(whole)
-        return found
+        return met.select(F.explode(links).alias("p")).select("p.a", "p.b")
 
     return large
 
 
+def _own(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """Written ``(__row, pos, h1, h2)``, a row a line."""
+    return scratch.write(lines_of(docs).select("__row", "pos", *_hashes()), "own")
+
+
+def _groups(docs: DataFrame, own: DataFrame, scratch: Scratch, threshold: float) -> DataFrame:
+    """Written ``(h1, h2, comp)`` for each distinct line that is near another."""
+    classes = scratch.write(signed(docs).withColumn("id", F.monotonically_increasing_id()), "classes")
+    shared = share(_members, classes, scratch)
+    wanted = classes.select("id", "h1", "h2").join(shared.select("id").distinct(), "id", "left_semi")
+    wanted = own.join(wanted, ["h1", "h2"]).groupBy("id").agg(F.min(F.struct("__row", "pos")).alias("at")).select("id", "at.__row", "at.pos")
+    lines = _texts(docs, scratch.write(wanted, "wanted")).select("id", "coded", F.sort_array(_set("coded")).alias("s"))
+    lines = scratch.write(lines.select("id", "coded", F.size("s").alias("n"), F.slice("s", 1, SKETCH).alias("k")), "lines")
+    comp = link(shared, _verifier(lines, scratch, threshold), _large(classes, lines, scratch, threshold), scratch)
+    return scratch.write(classes.select("id", "h1", "h2").join(comp, "id").select("h1", "h2", "comp"), "near")
+
+
 def line_groups(docs: DataFrame, scratch: Scratch, threshold: float = THRESHOLD) -> DataFrame:
     """``(h1, h2, comp, keep_doc)`` for each distinct line that is near another: its component and the document (its ``__row``) that keeps a line of it."""
     docs = docs if "__row" in docs.columns else with_rows(docs, scratch)
-    classes = classes_of(docs, scratch)
-    shared = share(classes.select("id", F.explode("keys").alias("key")).select("key", "id"), scratch)
-    wanted = scratch.write(classes.select("id", "h1", "first_doc").join(shared.select("id").distinct(), "id", "left_semi"), "wanted", tidy=True)
-    hashed = _texts(docs, wanted).select("id", "line", _set("line").alias("s"))
-    sets = scratch.write(hashed.select("id", "line", F.size("s").alias("n"), F.slice(F.sort_array("s"), 1, SKETCH).alias("k")), "sets", tidy=True)
-    large = _large(classes, sets, scratch, threshold)
-    comp = scratch.write(link(shared, _verifier(sets, scratch, threshold), sets, AGREE, scratch, large), "component")
-    grouped = classes.select("id", "h1", "h2", "first_doc").join(comp, "id")
-    keeper = grouped.groupBy("comp").agg(F.min("first_doc").alias("keep_doc"))
-    return scratch.write(grouped.join(keeper, "comp").select("h1", "h2", "comp", "keep_doc"), "near")
+    own = _own(docs.select("__row", "text"), scratch)
+    near = _groups(docs.select("__row", "text"), own, scratch, threshold)
+    first = own.join(near, ["h1", "h2"]).groupBy("comp").agg(F.min("__row").alias("keep_doc"))
+    return near.join(first, "comp").select("h1", "h2", "comp", "keep_doc")
 
 
 def line_dedup(docs: DataFrame, scratch: Scratch, threshold: float = THRESHOLD) -> DataFrame:
@@ -168,31 +196,27 @@ def line_dedup(docs: DataFrame, scratch: Scratch, threshold: float = THRESHOLD)
     ``line_dedup`` has ``n_lines`` (blank ones not counted) and ``dropped``, the positions removed.
     """
     docs = with_rows(docs, scratch)
-    near = line_groups(docs, scratch, threshold)
+    texts = docs.select("__row", "text")
+    own = _own(texts, scratch)
+    near = _groups(texts, own, scratch, threshold)
     # lines that occur once and are near no other never leave their document: only the rest is regrouped
-    own = lines_of(docs).select("__row", "pos", *_hashes())
-    counted = own.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("__row").alias("first_doc"))
-    again = counted.where("n > 1").select("h1", "h2", "first_doc")
-    judged = again.join(near, ["h1", "h2"], "full").select(
-        "h1", "h2", F.coalesce("keep_doc", "first_doc").alias("keep_doc"), F.struct(F.col("comp"), F.when(F.col("comp").isNull(), F.col("h1")), F.when(F.col("comp").isNull(), F.col("h2"))).alias("group")
-    )
-    judged = scratch.write(judged, "judged", tidy=True)
-    placed = own.join(judged, ["h1", "h2"]).select("__row", "pos", "group", F.expr("keep_doc = __row").alias("here"))
-    # one exchange by document serves the first line of each group in it and the list of what goes
-    placed = placed.repartition("__row")
-    first = F.min("pos").over(Window.partitionBy("__row", "group"))
-    gone = placed.withColumn("first", first).where("not here or pos > first").groupBy("__row").agg(F.sort_array(F.collect_list("pos")).alias("gone"))
-    gone = scratch.write(gone, "gone", tidy=True)
-    return cut(docs.join(gone, "__row", "left")).drop("gone", "__row")
+    counted = own.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct("__row", "pos")).alias("at"))
+    judged = counted.join(near, ["h1", "h2"], "left").where("n > 1 or comp is not null")
+    judged = scratch.write(judged.select("h1", "h2", "at", F.col("comp")), "judged")
+    first = judged.where("comp is not null").groupBy("comp").agg(F.min("at").alias("best"))
+    judged = judged.join(first, "comp", "left").select("h1", "h2", F.coalesce("best", "at").alias("keep"))
+    gone = own.join(judged, ["h1", "h2"]).where("__row <> keep.__row or pos <> keep.pos")
+    gone = scratch.write(gone.groupBy("__row").agg(F.sort_array(F.collect_list("pos")).alias("gone")), "gone")
+    held = gone.agg((F.count("*") * 40 + F.coalesce(F.sum(F.size("gone")), F.lit(0)) * 4).alias("bytes")).first().bytes
+    return cut(docs.join(F.broadcast(gone) if held <= SMALL_BYTES else gone, "__row", "left")).drop("gone", "__row")
 
 
 def cut(marked: DataFrame) -> DataFrame:
     """Apply the positions in ``gone`` to ``text``; tell them in ``line_dedup``."""
-    lines = F.split("text", "\n")
     drop = F.coalesce("gone", F.array().cast("array<int>"))
-    kept = F.expr("filter(split(text, '\\n'), (x, i) -> not array_contains(coalesce(gone, cast(array() as array<int>)), i))")
+    kept = F.expr("filter(split(text, '\\n'), (x, i) -> not array_contains(gone, i))")
     told = F.struct(
-        F.size(F.filter(lines, lambda x: F.trim(F.translate(x, "\r\t", "  ")) != "")).alias("n_lines"),
-        F.array_distinct(drop).alias("dropped"),
+        F.expr("size(filter(split(text, '\\n'), x -> trim(both ' \\t\\r' from x) <> ''))").alias("n_lines"),
+        drop.alias("dropped"),
     )
-    return marked.withColumn("line_dedup", told).withColumn("text", F.when(F.size(drop) == 0, F.col("text")).otherwise(F.array_join(kept, "\n")))
+    return marked.withColumn("line_dedup", told).withColumn("text", F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")))

@@ -10,12 +10,12 @@ verified on their gram sets exactly.
 To find every link without listing all pairs of a large group, the join runs in two parts:
 
 1. components: ``components.link`` tests pairs across components only.  Large buckets are compared a pair of
-   tiles at a time, signatures and gram sets together, and a tile pair gives a spanning forest of its links, so
-   rows follow the members and not their pairs;
+   slabs at a time, signatures and gram sets together, and a slab pair gives a spanning forest of its links, so
+   rows follow the members and not their pairs.  A slab is bounded in members and in bytes of gram sets;
 2. links: a link lies inside one component, so each component is cut into blocks of members and each
    pair of blocks is compared once, in arrays of at most ``BLOCK`` by ``BLOCK`` pairs.  A component has up to ``BLOCKS``
-   blocks, and more where a block would hold over ``MOST`` members, so a task's memory does not grow with the component.
-   Rows that leave a task are counts per class, never pairs.
+   blocks, and more where a block would hold over ``MOST`` members or ``MOST_BYTES`` of gram sets, so a task's memory does
+   not grow with the component.  Rows that leave a task are counts per class, never pairs.
 
 Nulls: a null text is a text without words; a null doc_id is a row like others, last in order.  Repeated ids
 are separate rows.  An empty table gives an
@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cellweave.llm.components import link, narrow, only_used, share, with_rows
+from cellweave.llm.components import link, narrow, only_used, share, slab_pairs, small, tiled, with_rows
 from cellweave.storage import Scratch
 
 WORDS = 5
@@ -45,8 +45,9 @@ TOLERANCE = 1e-4
 PRIOR = (1.0, 1.0)
 BLOCK, BLOCKS = 128, 16
 #: Members of a block on average, at most, whatever the component's size.
-MOST = 1024
-TILE = 256
+MOST, MOST_BYTES = 1024, 48 << 20
+#: Weight of a slab of a large bucket: a member weighs 1, and 1 more for each ``GRAMS_BYTES`` of its gram set.
+SLAB, GRAMS_BYTES = 256, 8192
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -133,10 +134,11 @@ def _signed(docs: DataFrame, scratch: Scratch) -> DataFrame:
                 g = grams(text)
                 h = xxhash.xxh3_128_intdigest((text or "").encode("utf-8", "surrogatepass"))
                 rows.append(((h >> 64) - (1 << 63), (h & (1 << 64) - 1) - (1 << 63), minhash(g).tobytes() if len(g) else None))
-            yield pd.concat([pdf[["doc_id", "__row"]], pd.DataFrame(rows, columns=["h1", "h2", "sig"], index=pdf.index)], axis=1)
+            yield pd.concat([pdf[["__id", "__row"]], pd.DataFrame(rows, columns=["h1", "h2", "sig"], index=pdf.index)], axis=1)
 
-    schema = "doc_id long, __row long, h1 long, h2 long, sig binary"
-    return scratch.write(docs.select("doc_id", "__row", "text").mapInPandas(sign, schema), "signed")
+    # ids pass through Python as text, which holds null and every long
+    made = docs.select(F.col("doc_id").cast("string").alias("__id"), "__row", "text").mapInPandas(sign, "__id string, __row long, h1 long, h2 long, sig binary")
+    return scratch.write(made.select(F.col("__id").cast(docs.schema["doc_id"].dataType).alias("doc_id"), "__row", "h1", "h2", "sig"), "signed")
 
 
 def _bands(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -149,15 +151,8 @@ def _bands(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"key": key.ravel().view(np.int64), "id": np.repeat(pdf["id"].to_numpy(), BANDS)})
 
 
-def _sketches(signed: DataFrame) -> DataFrame:
-    """The values of each signature as ``(id, k)``, an array in which equal elements are equal values at equal places."""
-
-    def take(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        place = np.arange(HASHES, dtype=np.int64) << 32
-        for pdf in batches:
-            yield pd.DataFrame({"id": pdf["id"], "k": [place | np.frombuffer(s, np.uint32) for s in pdf["sig"]]})
-
-    return signed.select("id", "sig").mapInPandas(take, "id long, k array<long>")
+def _members(classes: DataFrame) -> DataFrame:
+    return classes.select("id", "sig").mapInPandas(_bands, "key long, id long")
 
 
 def _gram_table(docs: DataFrame, wanted: DataFrame, scratch: Scratch) -> DataFrame:
@@ -168,7 +163,7 @@ def _gram_table(docs: DataFrame, wanted: DataFrame, scratch: Scratch) -> DataFra
             yield pd.DataFrame({"id": pdf["id"], "grams": [grams(text).tobytes() for text in pdf["text"]]})
 
     found = narrow(docs.select("__row", "text"), wanted.select("id", "__row"), ["__row"])
-    return scratch.write(found.select("id", "text").mapInPandas(cut, "id long, grams binary"), "grams", tidy=True)
+    return scratch.write(found.select("id", "text").mapInPandas(cut, "id long, grams binary"), "grams")
 
 
 def prune(a: np.ndarray, b: np.ndarray, least: dict[int, int]) -> np.ndarray:
@@ -210,7 +205,7 @@ def _verifier(classes: DataFrame, gram_table: DataFrame, scratch: Scratch, thres
     def verify(pairs: DataFrame) -> DataFrame:
         sig_a = classes.select(F.col("id").alias("a"), F.col("sig").alias("sig_a"))
         sig_b = classes.select(F.col("id").alias("b"), F.col("sig").alias("sig_b"))
-        left = scratch.write(pairs.join(sig_a, "a").join(sig_b, "b").select("a", "b", "sig_a", "sig_b").mapInPandas(pruned, "a long, b long"), "left", tidy=True)
+        left = scratch.write(pairs.join(sig_a, "a").join(sig_b, "b").select("a", "b", "sig_a", "sig_b").mapInPandas(pruned, "a long, b long"), "left")
         used = only_used(gram_table, left)
         g_a = used.select(F.col("id").alias("a"), F.col("grams").alias("grams_a"))
         g_b = used.select(F.col("id").alias("b"), F.col("grams").alias("grams_b"))
@@ -290,39 +285,35 @@ def _forest(ids: np.ndarray, comps: np.ndarray, sig: np.ndarray, grams: list[byt
 
 
 def _large(near: DataFrame, gram_table: DataFrame, scratch: Scratch, threshold: float):
-    """Links of large buckets for ``components.link``: a row is a pair of tiles of ``TILE`` members at most, whatever the bucket's size."""
+    """Links of large buckets for ``components.link``: a row is a pair of slabs, whatever the bucket's size."""
     least = least_matches(threshold)
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             found = []
             for r in pdf.itertuples(index=False):
-                same = r.tile == r.other
+                same = r.slab == r.other
                 ids, comps, sig, grams = ([*x] if same else [*x, *y] for x, y in ((r.id, r.id_y), (r.comp, r.comp_y), (r.sig, r.sig_y), (r.grams, r.grams_y)))
                 sig = np.frombuffer(b"".join(sig), np.uint32).reshape(len(ids), HASHES)
                 found += _forest(np.array(ids), np.array(comps), sig, grams, 0 if same else len(r.id), threshold, least)
             yield pd.DataFrame(found, columns=["a", "b"]).astype("int64")
 
-    def large(placed: DataFrame) -> DataFrame:
-        order = Window.partitionBy("key").orderBy("comp", "id")
-        tiled = placed.withColumn("tile", F.floor((F.row_number().over(order) - 1) / TILE).cast("int"))
-        full = tiled.join(near, "id").join(gram_table, "id")
+    def large(left: DataFrame) -> DataFrame:
+        full = left.join(near, "id").join(gram_table, "id").withColumn("w", F.expr(f"1 + octet_length(grams) div {GRAMS_BYTES}"))
         fields = ("id", "comp", "sig", "grams")
-        tiles = full.groupBy("key", "tile").agg(F.collect_list(F.struct(*fields)).alias("m")).select("key", "tile", *[F.col(f"m.{c}").alias(c) for c in fields])
-        tiles = scratch.write(tiles, "tiles", tidy=True)
-        count = tiles.groupBy("key").agg((F.max("tile") + 1).alias("n"))
-        left = tiles.join(count, "key").withColumn("other", F.explode(F.sequence("tile", F.col("n") - 1))).drop("n")
-        right = tiles.select("key", F.col("tile").alias("other"), *[F.col(c).alias(f"{c}_y") for c in fields])
-        found = scratch.write(left.join(right, ["key", "other"]).mapInPandas(compare, "a long, b long"), "found", tidy=True)
-        scratch.drop(tiles)
-        return found
+        slabs = tiled(scratch.write(full, "placed"), "w", SLAB).groupBy("key", "slab").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.collect_list(F.struct(*fields)).alias("m"))
+        slabs = scratch.write(slabs.select("key", "slab", "low", "high", *[F.col(f"m.{c}").alias(c) for c in fields]), "slabs")
+        met = slab_pairs(slabs).join(slabs.drop("low", "high"), ["key", "slab"])
+        right = slabs.select("key", F.col("slab").alias("other"), *[F.col(c).alias(f"{c}_y") for c in fields])
+        return met.join(right, ["key", "other"]).mapInPandas(compare, "a long, b long")
 
     return large
 
 
-def _blocks(m: Column) -> Column:
-    """The number of blocks of a component of ``m`` members."""
-    return F.when(m <= BLOCK, 1).otherwise(F.greatest(F.least(F.ceil(m / BLOCK), F.lit(BLOCKS)), F.ceil(m / MOST))).cast("int")
+def _blocks(m: Column, size: Column) -> Column:
+    """The number of blocks of a component of ``m`` members whose gram sets have ``size`` bytes."""
+    by_count = F.when(m <= BLOCK, 1).otherwise(F.greatest(F.least(F.ceil(m / BLOCK), F.lit(BLOCKS)), F.ceil(m / MOST)))
+    return F.greatest(by_count, F.ceil(size / MOST_BYTES)).cast("int")
 
 
 def _count_block(pdf: pd.DataFrame, threshold: float, least: dict[int, int]) -> pd.DataFrame:
@@ -373,31 +364,35 @@ def ngram_join(docs: DataFrame, scratch: Scratch, threshold: float = THRESHOLD)
     return _joined(with_rows(docs.select("doc_id", "text"), scratch), scratch, threshold).drop("__row", "group_row")
 
 
-def _joined(docs: DataFrame, scratch: Scratch, threshold: float) -> DataFrame:
-    """``ngram_join`` of ``(doc_id, __row, text)`` with ``__row`` and ``group_row``, the first row reachable over links."""
+def _grouped(docs: DataFrame, scratch: Scratch, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Of ``(doc_id, __row, text)``: the signed rows, the classes of equal texts, the components of linked classes, and the signatures and gram sets of those in shared buckets."""
     signed = _signed(docs, scratch)
-    # a class is a group of equal texts
     classes = signed.groupBy("h1", "h2").agg(F.min("doc_id").alias("class_id"), F.min("__row").alias("class_row"), F.count("*").alias("copies"), F.first("sig").alias("sig"))
-    classes = scratch.write(classes.withColumn("id", F.monotonically_increasing_id()), "classes", tidy=True)
+    classes = scratch.write(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
     worded = classes.where("sig is not null")
-    shared = share(worded.select("id", "sig").mapInPandas(_bands, "key long, id long"), scratch)
-    wanted = scratch.write(worded.select("id", F.col("class_row").alias("__row")).join(shared.select("id").distinct(), "id", "left_semi"), "wanted", tidy=True)
+    shared = share(_members, worded, scratch)
+    wanted = scratch.write(worded.select("id", F.col("class_row").alias("__row")).join(shared.select("id").distinct(), "id", "left_semi"), "wanted")
     gram_table = _gram_table(docs, wanted, scratch)
-    near = scratch.write(worded.select("id", "sig").join(wanted, "id", "left_semi"), "near", tidy=True)
-    large = _large(near, gram_table, scratch, threshold)
-    comp = scratch.write(link(shared, _verifier(near, gram_table, scratch, threshold), _sketches(near), least_matches(threshold)[HASHES], scratch, large), "component")
-    least = least_matches(threshold)
+    near = scratch.write(worded.select("id", "sig").join(small(wanted.select("id"), 24), "id"), "near")
+    comp = link(shared, _verifier(near, gram_table, scratch, threshold), _large(near, gram_table, scratch, threshold), scratch)
+    return signed, classes, comp, near, gram_table
+
 
+def _joined(docs: DataFrame, scratch: Scratch, threshold: float) -> DataFrame:
+    """``ngram_join`` of ``(doc_id, __row, text)`` with ``__row`` and ``group_row``, the first row reachable over links."""
+    signed, classes, comp, near, gram_table = _grouped(docs, scratch, threshold)
+    least = least_matches(threshold)
     member = comp.join(classes.select("id", "class_id", "class_row", "copies"), "id")
-    sizes = comp.groupBy("comp").agg(F.count("*").alias("m"))
-    sizes = sizes.select("comp", _blocks(F.col("m")).alias("blocks"))
-    blocked = member.join(sizes, "comp").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
-    blocked = blocked.join(near, "id").join(gram_table, "id")
-    paired = blocked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    blocked = member.join(near, "id").join(gram_table, "id")
+    blocked = scratch.write(blocked, "members")
+    sizes = blocked.groupBy("comp").agg(F.count("*").alias("m"), F.sum(F.octet_length("grams")).alias("size"))
+    sizes = sizes.select("comp", _blocks(F.col("m"), F.col("size")).alias("blocks"))
+    dealt = blocked.join(small(sizes, 32), "comp").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    paired = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     paired = paired.select("id", "copies", "comp", "block", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "sig", "grams")
     counted = paired.groupBy("comp", "bi", "bj").applyInPandas(lambda pdf: _count_block(pdf, threshold, least), "id long, links long")
     links = counted.groupBy("id").agg(F.sum("links").alias("links"))
-    group = member.groupBy("comp").agg(F.min("class_id").alias("group_id"), F.min("class_row").alias("group_row"))
+    group = blocked.groupBy("comp").agg(F.min("class_id").alias("group_id"), F.min("class_row").alias("group_row"))
     linked = comp.join(group, "comp").join(links, "id", "left").select("id", "group_id", "group_row", "links")
     facts = classes.join(linked, "id", "left").select(
         "h1", "h2", "class_id", F.coalesce("group_id", "class_id").alias("group_id"), F.coalesce("group_row", "class_row").alias("group_row"),
@@ -409,9 +404,13 @@ def _joined(docs: DataFrame, scratch: Scratch, threshold: float) -> DataFrame:
 def one_per_group(docs: DataFrame, scratch: Scratch, threshold: float = THRESHOLD) -> DataFrame:
     """The documents with all their columns, one row of each linked group: that of the smallest doc_id.
 
-    A row without words stays unless its text equals that of an earlier row.
+    A row without words stays unless its text equals that of an earlier row.  Links are not counted, only followed.
     """
     rows = with_rows(docs, scratch)
-    joined = _joined(rows.select("doc_id", "__row", "text"), scratch, threshold)
-    keep = scratch.write(joined.where("__row = group_row").select("__row"), "kept")
-    return narrow(rows, keep, ["__row"]).select(*docs.columns)
+    signed, classes, comp, _, _ = _grouped(rows.select("doc_id", "__row", "text"), scratch, threshold)
+    placed = classes.select("id", "h1", "h2", "class_row", "copies").join(comp, "id", "left")
+    first = placed.where("comp is not null").groupBy("comp").agg(F.min("class_row").alias("group_row"))
+    # only classes that are linked or repeated can lose a row
+    judged = placed.where("comp is not null or copies > 1").join(first, "comp", "left").select("h1", "h2", F.coalesce("group_row", "class_row").alias("stays"))
+    gone = signed.select("__row", "h1", "h2").join(judged, ["h1", "h2"]).where("__row <> stays").select("__row")
+    return rows.join(small(scratch.write(gone, "gone"), 24), "__row", "left_anti").select(*docs.columns)

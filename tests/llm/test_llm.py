@@ -159,7 +159,7 @@ def test_ngram_join_against_brute_force(spark, odd):
 
 def test_line_dedup_in_large_buckets(spark, monkeypatch):
     """Near copies of one line that share a bucket, cut into several tiles: the components of brute force."""
-    monkeypatch.setattr(line_dedup, "TILE", 8)
+    monkeypatch.setattr(line_dedup, "SLAB", 8)
     monkeypatch.setattr(components, "SWEEPS", 0)
     r, base = random.Random(6), words(12, 60).split()
     docs = [(i, " ".join(w if r.random() > 0.02 else f"w{r.randrange(9)}" for w in base)) for i in range(40)]
@@ -207,7 +207,7 @@ def test_line_dedup_recall(spark):
 
 def test_ngram_join_in_large_buckets(spark, monkeypatch):
     """A group of copies of one text in which many words are changed, cut into several tiles: every link, compared with brute force."""
-    monkeypatch.setattr(ngram_join, "TILE", 20)
+    monkeypatch.setattr(ngram_join, "SLAB", 20)
     monkeypatch.setattr(components, "SWEEPS", 0)
     r = random.Random(5)
     base = words(11, 150).split()
@@ -260,7 +260,7 @@ def test_block_pairs_are_counted_in_bounded_tiles(monkeypatch, blocks):
 
 def test_blocks_do_not_grow_with_the_component(spark):
     m = [2, 128, 129, 2048, 20_000, 200_000, 5_000_000]
-    got = [x[0] for x in spark.createDataFrame([(x,) for x in m], "m long").select(ngram_join._blocks(F.col("m"))).collect()]
+    got = [x[0] for x in spark.createDataFrame([(x,) for x in m], "m long").select(ngram_join._blocks(F.col("m"), F.lit(0))).collect()]
     assert got[:4] == [1, 1, 2, 16] and all(x / n <= ngram_join.MOST for x, n in zip(m, got, strict=True))
 
 
