@@ -60,21 +60,51 @@ def test_chat_round_trip_of_control_strings(spark):
         assert r.formatted.count("<|im_start|>") == 4 and "</s>" not in r.formatted
 
 
-def test_packing_plan_is_best_fit_decreasing():
+def best_fit(lengths, capacity):
+    gaps, n = [], 0
+    for length in sorted(lengths, reverse=True):
+        fits = [g for g in gaps if g >= length]
+        if fits:
+            gaps.remove(min(fits))
+            gaps.append(min(fits) - length)
+        else:
+            gaps.append(capacity - length)
+            n += 1
+    return n
+
+
+def test_a_sweep_is_best_fit_decreasing():
     r = random.Random(4)
     for _ in range(30):
         lengths = [r.randint(1, 40) for _ in range(r.randint(1, 300))]
-        steps, opened = packing.plan(dict(collections.Counter(lengths)), 40)
-        gaps, n = [], 0
-        for length in sorted(lengths, reverse=True):
-            fits = [g for g in gaps if g >= length]
-            if fits:
-                gaps.remove(min(fits))
-                gaps.append(min(fits) - length)
-            else:
-                gaps.append(40 - length)
-                n += 1
-        assert opened == n
+        placed, left, _ = packing.sweep([(n, i) for i, n in enumerate(sorted(lengths, reverse=True))], [], 40, -1)
+        assert not left and len({seq for _, _, seq, _ in placed}) == best_fit(lengths, 40)
+
+
+def test_ranges_deal_no_gap_more_than_it_holds():
+    got = packing.deal([(0, 0, 0, 3, 50), (1, 2, 30, 1, 20), (2, 9, 7, 0, 0)])
+    assert got == [(1, 0, 2, 0, 1, 1), (2, 0, 2, 1, 0, 2), (2, 2, 9, 0, 0, 7)]
+
+
+def test_packing_in_many_ranges_and_rounds(spark):
+    """Ranges of 40 rows: every piece has one place, no sequence overflows, and hardly more sequences than sequential best fit."""
+    r = random.Random(9)
+    docs = spark.createDataFrame([(None if i % 50 == 0 else (1 << 60) + i, " ".join(["a"] * (5 if i % 3 == 0 else r.randint(0, 150)))) for i in range(600)], "doc_id long, text string")
+    got = packing.pack(docs, scratch(spark), tokenizer_path(), 64, 40).collect()
+    n_tokens = [len(x.text.split()) + 1 for x in docs.collect()]
+    want = [p for n in n_tokens for p in [64] * (n // 64) + [n % 64] * (n % 64 > 0)]
+    assert sorted(p.length for p in got) == sorted(want)
+    assert {p.doc_id for p in got} == {x.doc_id for x in docs.collect()}
+    seq = collections.defaultdict(list)
+    for p in got:
+        seq[p.sequence_id].append((p.offset, p.length))
+    for places in seq.values():
+        ends = [0]
+        for offset, length in sorted(places):
+            assert offset == ends[-1]
+            ends.append(offset + length)
+        assert ends[-1] <= 64
+    assert len(seq) <= 1.02 * best_fit(want, 64) + 1
 
 
 def test_packing_places_every_piece(spark, odd):
