@@ -7,7 +7,8 @@ The language of the centroid of the highest cosine is predicted; a text further
 that it was built from is marked as rejected.
 
 Document frequencies cover all learning rows; the centroids come from at most ``SAMPLE`` texts a language
-(a documented bound), by seeded hash.  The state of a model is ``DIM`` frequencies and a few centroids.
+(a documented bound), by seeded hash; a task a language clusters them.  The state of a model is ``DIM`` frequencies and
+a few centroids a language, 32 KB each.
 
 Nulls: a null text, or one without a letter, is ``und`` with score 0; rows of a null lang are not
 learned from; without any learning row all is ``und``.  Repeated rows are predicted each; an empty
@@ -16,6 +17,7 @@ table gives no rows.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -26,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellweave.llm.components import narrow
-from cellweave.llm.training import fold
+from cellweave.llm.training import by_row, fold
 
 BITS = 13
 DIM = 1 << BITS
@@ -136,20 +138,22 @@ def fit(docs: DataFrame, folds: int, held: int, sample: int = SAMPLE, centroids:
                 if c is not None:
                     x = np.where(c > 0, 1 + np.log(np.maximum(c, 1)), 0) * idf
                     rows.append((i, y, (x / (np.linalg.norm(x) or 1.0)).astype(np.float16).tobytes()))
-            yield pd.DataFrame(rows, columns=["doc_id", "y", "x"]).astype({"doc_id": "int64"})
-
-    got = narrow(learn.select("doc_id", "text"), drawn, ["doc_id"]).mapInPandas(vectors, "doc_id long, y string, x binary").toPandas().sort_values(["y", "doc_id", "x"])
-    langs = sorted(set(got["y"]))
-    rows, owner, least = [], [], []
-    for i, lang in enumerate(langs):
-        x = np.array([np.frombuffer(b, np.float16) for b in got.loc[got["y"] == lang, "x"]], np.float32)
-        c, own = _kmeans(x, centroids, seed=i)
-        for j in range(len(c)):
-            mine = x[own == j] @ c[j]
-            rows.append(c[j])
-            owner.append(i)
-            least.append(float(np.quantile(mine, REJECT_QUANTILE)) if len(mine) else 1.0)
-    return Model(idf, langs, np.array(rows, np.float32).reshape(-1, DIM), np.array(owner, int), np.array(least))
+            yield pd.DataFrame(rows, columns=["doc_id", "y", "x"])
+
+    def clustered(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["doc_id", "x"])
+        x = np.array([np.frombuffer(b, np.float16) for b in pdf["x"]], np.float32)
+        c, own = _kmeans(x, centroids, seed=zlib.crc32(pdf["y"].iloc[0].encode("utf-8", "surrogatepass")))
+        least = [float(np.quantile(x[own == j] @ c[j], REJECT_QUANTILE)) if (own == j).any() else 1.0 for j in range(len(c))]
+        return pd.DataFrame({"y": pdf["y"].iloc[0], "least": least, "c": [v.astype(np.float32).tobytes() for v in c]})
+
+    made = by_row(narrow(learn.select("doc_id", "text"), drawn, ["doc_id"], 64), vectors, "y string, x binary", "y", "text")
+    # a language is clustered in a task of its own, so the driver holds only centroids
+    got = sorted(made.groupBy("y").applyInPandas(clustered, "y string, least double, c binary").collect(), key=lambda r: r.y)
+    langs = sorted({r.y for r in got})
+    at = {y: i for i, y in enumerate(langs)}
+    rows = np.array([np.frombuffer(r.c, np.float32) for r in got], np.float32).reshape(-1, DIM)
+    return Model(idf, langs, rows, np.array([at[r.y] for r in got], int), np.array([r.least for r in got]))
 
 
 def language_id(docs: DataFrame, folds: int = 4, held: int = 2, sample: int = SAMPLE, centroids: int = CENTROIDS) -> DataFrame:
@@ -162,4 +166,4 @@ def language_id(docs: DataFrame, folds: int = 4, held: int = 2, sample: int = SA
             yield pdf[["doc_id", "held_out"]].assign(lang_pred=[g[0] for g in got], score=[g[1] for g in got], rejected=[g[2] for g in got])
 
     rows = docs.select("doc_id", F.coalesce(fold(folds) == held, F.lit(False)).alias("held_out"), "text")
-    return rows.mapInPandas(run, "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean")
+    return by_row(rows, run, "held_out boolean, lang_pred string, score double, rejected boolean", "held_out", "text")

@@ -29,6 +29,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from cellweave.llm.training import by_row
+
 PAD = 64
 PACKET = 4096
 RATE = 8000
@@ -189,7 +191,7 @@ def media_columns(docs: DataFrame) -> DataFrame:
             made = [encode(t) for t in pdf["text"]]
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_bytes": [m[0] for m in made], "media": [m[1] for m in made]})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_bytes long, media binary")
+    return by_row(docs, run, "n_bytes long, media binary", "text")
 
 
 def digest(media: DataFrame) -> DataFrame:
@@ -201,9 +203,8 @@ def digest(media: DataFrame) -> DataFrame:
             for i, n, m in zip(pdf["doc_id"], pdf["n_bytes"], pdf["media"], strict=True):
                 payload, streams = decode(m)
                 rows.append((i, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-PAD:]), len(m), hashlib.sha256(m).hexdigest(), features(payload, streams)))
-            out = pd.DataFrame(rows, columns=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
-            yield out.astype({"doc_id": pdf["doc_id"].dtype})
+            yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
-    return media.select("doc_id", "n_bytes", "media").mapInPandas(
-        run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    return by_row(
+        media, run, "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string", "n_bytes", "media"
     )

@@ -5,8 +5,10 @@ prior p the risk of a scorer g is  p E_pos[l(g)] + max(0, E_unl[l(-g)] - p E_pos
 risk of the negatives, which only unlabelled and positive texts enter, kept from going below zero.
 Where a minibatch makes it negative, the step goes up that part instead, as the non-negative estimator asks.
 
-The prior is estimated as the share of 1 among known labels outside the held-out fold; where only
-positives are labelled, as the smallest ratio of the unlabelled to the positive share above any score.
+The class prior is estimated from positives and unlabelled rows alone: the smallest ratio of the unlabelled to the
+positive share above any score of a first scorer (fitted with a prior of a half on one half of the sample, read on the other).
+Labels 0 are known negatives; they take no part.  Where every learning row has a label there is no unlabelled
+set: then the labelled rows, 1 and 0 alike and without their labels, stand in for it.
 
 A text is described by how it is written, not by its topic: shares of capitals, digits, symbols, white space and
 marks, word and line lengths, repeated words and word triples, stop-like short words.  Each measure
@@ -20,6 +22,7 @@ positive every score is 0.5.  Repeated rows are scored each; an empty table give
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -29,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellweave.llm.training import draw, fold, labelled, with_text
+from cellweave.llm.training import by_row, draw, fit_apart, fold, labelled, with_text
 
 SAMPLE = 8_000
 STEPS = 8
@@ -117,10 +120,15 @@ class Scorer:
 
 
 def envelope_prior(pos: np.ndarray, unl: np.ndarray) -> float:
-    """The smallest ratio of the unlabelled to the positive share above any score that a tenth of the positives exceed."""
-    cut = np.quantile(pos, np.linspace(0.0, 0.9, 37))
-    ratio = [((unl >= c).mean() + 1 / len(unl)) / max((pos >= c).mean(), 1e-9) for c in cut]
-    return float(np.clip(min(ratio), 0.05, 0.98))
+    """The smallest ratio of the unlabelled to the positive share above any score that a fifth of the positives exceed.
+
+    The unlabelled are p positives and 1 - p negatives, so the ratio is p plus the negatives above the score: p where
+    none are.  A standard error of the unlabelled share is added, as the smallest of many ratios falls below its mean.
+    """
+    cut = np.quantile(pos, np.linspace(0.0, 0.8, 33))
+    above = np.array([(unl >= c).mean() for c in cut])
+    ratio = (above + np.sqrt(above * (1 - above) / len(unl)) + 1 / len(unl)) / np.maximum([(pos >= c).mean() for c in cut], 1e-9)
+    return float(np.clip(ratio.min(), 0.05, 0.98))
 
 
 def fit(pos: np.ndarray, unl: np.ndarray, prior: float | None, seed: int = 5, epochs: int = EPOCHS, rate: float = 0.03, decay: float = 1e-4) -> Scorer:
@@ -134,8 +142,11 @@ def fit(pos: np.ndarray, unl: np.ndarray, prior: float | None, seed: int = 5, ep
     model = Scorer(cuts, width, np.zeros(0), 0.0, 0.0)
     if prior is None:
         model.prior = 0.5
-        first = fit(pos, unl, 0.5, seed, 6)
-        prior = envelope_prior(first.score(pos), first.score(unl))
+        if min(len(pos), len(unl)) >= 4:  # the halves keep the estimate clear of what the scorer has seen
+            first = fit(pos[::2], unl[::2], 0.5, seed, 6)
+            prior = envelope_prior(first.score(pos[1::2]), first.score(unl[1::2]))
+        else:
+            prior = 0.5
     xp, xu = model.expand(pos), model.expand(unl)
     rng = np.random.default_rng(seed)
     w, b = np.zeros(xp.shape[1]), float(np.log(prior / (1 - prior)))
@@ -166,23 +177,26 @@ def fit(pos: np.ndarray, unl: np.ndarray, prior: float | None, seed: int = 5, ep
 
 def _described(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        yield pd.DataFrame({"doc_id": pdf["doc_id"], "x": [np.array(describe(t)).tobytes() for t in pdf["text"]]})
+        yield pd.DataFrame({"doc_id": pdf["doc_id"], "y": pdf["y"], "x": [np.array(describe(t)).tobytes() for t in pdf["text"]]})
+
+
+def _train(got: pd.DataFrame | None) -> bytes:
+    if got is None:
+        return pickle.dumps(fit(np.zeros((0, len(NAMES))), np.zeros((0, len(NAMES))), None))
+    got = got.sort_values(["y", "doc_id", "x"])
+    x = np.array([np.frombuffer(b) for b in got["x"]], np.float64).reshape(-1, len(NAMES))
+    y = got["y"].to_numpy()
+    return pickle.dumps(fit(x[y == 1], x[y == 2], None))
 
 
 def fit_on(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: int, sample: int = SAMPLE) -> Scorer:
-    """Draw positives and unlabelled rows outside the held-out fold, estimate the prior, and fit."""
+    """Draw positives and unlabelled rows outside the held-out fold, estimate the prior, and fit, in one task on an executor."""
     known = labelled(labels, label, folds, held)
-    share = known.agg(F.count("*").alias("n"), F.sum(F.col("y").cast("double")).alias("p")).first()
-    prior = float(np.clip(share.p / share.n, 0.05, 0.98)) if share.n and share.p < share.n else None
-    positive = draw(known.where("y = 1").select("doc_id"), sample, seed=11)
+    positive = draw(known.where("y = 1").select("doc_id", "y"), sample, seed=11)
     free = docs.where(F.col("doc_id").isNotNull() & (fold(folds) != held)).select("doc_id").join(labels.where(F.col(label).isNotNull()).select("doc_id"), "doc_id", "left_anti")
-    unlabelled = draw(free.distinct(), sample, seed=13)
-
-    def collect(ids: DataFrame) -> np.ndarray:
-        got = with_text(docs, ids).mapInPandas(_described, "doc_id long, x binary").toPandas().sort_values(["doc_id", "x"])
-        return np.array([np.frombuffer(x) for x in got["x"]], np.float64).reshape(-1, len(NAMES))
-
-    return fit(collect(positive), collect(unlabelled), prior)
+    free = free.distinct() if free.limit(1).count() else known.select("doc_id")
+    chosen = with_text(docs, positive.union(draw(free, sample, seed=13).withColumn("y", F.lit(2))))
+    return pickle.loads(fit_apart(by_row(chosen, _described, "y int, x binary", "y", "text").select("doc_id", "y", "x"), _train))
 
 
 def quality(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int = 5, held: int = 0, threshold: float = 0.3, sample: int = SAMPLE) -> DataFrame:
@@ -195,7 +209,7 @@ def quality(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: i
             yield pdf[["doc_id", "held_out"]].assign(score=model.score(x))
 
     rows = docs.select("doc_id", F.coalesce(fold(folds) == held, F.lit(False)).alias("held_out"), "text")
-    scored = rows.mapInPandas(run, "doc_id long, held_out boolean, score double")
+    scored = by_row(rows, run, "held_out boolean, score double", "held_out", "text")
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 

@@ -7,8 +7,8 @@ group's name can weigh more than the sum of both, which no additive model can le
 
 Fitting: at most ``SAMPLE`` labelled rows (a documented bound) outside the held-out fold, by seeded hash.
 Features in fewer than ``MIN_DF`` sample texts, or without any association with the label, are left out;
-minibatch Adam with a proximal step for the weights (sparse) and decay for the vectors.  The model is
-a few thousand numbers; scoring is one map over the whole texts.
+minibatch Adam with a proximal step for the weights (sparse) and decay for the vectors.  One task on an executor fits;
+the model is a few thousand numbers; scoring is one map over the whole texts.
 
 Nulls: a null or empty text has no terms, its score is the bias alone; null labels are not learned from.
 Without labelled rows every score is 0.1.  Repeated rows are scored each; an empty table gives no rows.
@@ -16,6 +16,7 @@ Without labelled rows every score is 0.1.  Repeated rows are scored each; an emp
 
 from __future__ import annotations
 
+import pickle
 import re
 import zlib
 from collections.abc import Iterator
@@ -26,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellweave.llm.training import draw, fold, labelled, with_text
+from cellweave.llm.training import by_row, draw, fit_apart, fold, labelled, with_text
 
 SPACE = 1 << 22
 SAMPLE = 16_000
@@ -130,9 +131,14 @@ def fit_on(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: int
             got = [np.fromiter({f for w in words_of(t) for f in features_of(w)}, np.int32).tobytes() for t in pdf["text"]]
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "y": pdf["y"], "f": got})
 
+    def train(got: pd.DataFrame | None) -> bytes:
+        if got is None or not len(got):
+            return pickle.dumps(fit([], np.zeros(0)))
+        got = got.sort_values(["doc_id", "f"])
+        return pickle.dumps(fit([np.frombuffer(f, np.int32) for f in got["f"]], got["y"].to_numpy(np.float64)))
+
     chosen = draw(labelled(labels, label, folds, held), sample, seed=3)
-    got = with_text(docs, chosen).mapInPandas(hashed, "doc_id long, y int, f binary").toPandas().sort_values(["doc_id", "f"])
-    return fit([np.frombuffer(f, np.int32) for f in got["f"]], got["y"].to_numpy(np.float64))
+    return pickle.loads(fit_apart(by_row(with_text(docs, chosen), hashed, "y int, f binary", "y", "text").select("doc_id", "y", "f"), train))
 
 
 def scorer(machine: Machine):
@@ -162,5 +168,5 @@ def toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: in
     """``doc_id, held_out, score, predicted``, a row a document."""
     machine = fit_on(docs, labels, label, folds, held, sample)
     rows = docs.select("doc_id", F.coalesce(fold(folds) == held, F.lit(False)).alias("held_out"), "text")
-    scored = rows.mapInPandas(scorer(machine), "doc_id long, held_out boolean, score double")
+    scored = by_row(rows, scorer(machine), "held_out boolean, score double", "held_out", "text")
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
