@@ -39,3 +39,18 @@ def matched_peer_z(facts: DataFrame, bins: DataFrame, focal: DataFrame | None =
     reason = F.when(F.col("matched") < 2, "fewer_than_two_matched_peers").when(F.coalesce(F.col("null_sd"), F.lit(0.0)) < 1e-12, "zero_or_nonfinite_null_variance")
     out = out.withColumn("reason", reason)
     return out.withColumn("z", F.when(F.col("reason").isNull(), F.try_divide(F.col("observed") - F.col("null_mean"), F.col("null_sd"))))
+
+
+def measured_zero(facts: DataFrame, bins: DataFrame) -> DataFrame:
+    """``(focal, peer, cell_id, state, value)`` for every peer of a focal gene's bin in the cells where the focal gene is scored.
+
+    ``facts(cell_id, gene_id, score)`` has a row for each gene expressed in a cell.  A peer that is scored there has its score; one
+    that is expressed but not scored is unavailable; one that is not expressed is a measured zero.  Rows follow the cells of a focal
+    gene times the members of its bin, which merging keeps bounded.
+    """
+    asked = facts.where(F.col("score").isNotNull()).join(bins, "gene_id").select(F.col("gene_id").alias("focal"), "cell_id", "bin")
+    peers = asked.join(bins.select(F.col("gene_id").alias("peer"), "bin"), "bin").where("focal <> peer")
+    held = facts.select(F.col("gene_id").alias("peer"), "cell_id", "score", F.lit(True).alias("expressed"))
+    met = peers.join(held, ["peer", "cell_id"], "left")
+    state = F.when(F.col("score").isNotNull(), "scored").when(F.col("expressed"), "unavailable").otherwise("zero")
+    return met.select("focal", "peer", "cell_id", state.alias("state"), F.when(state == "scored", F.col("score")).when(state == "zero", 0.0).alias("value"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Developmental phases.
 PHASES = ["blastula", "gastrula", "neurula", "organogenesis", "fetal"]
 #: Labels that count as missing, and the order of named stages.
 MISSING = ["", "nan", "none", "<na>", "unknown"]

@@ -341,11 +341,16 @@ def exact_knn(spark, d):
     return vectors.knn(v, 5).withColumn("distance", F.round("distance", 5))
 
 
-@query(None)
+_KNN = """d as (select a.vec_id as id, b.vec_id as neighbour, list_distance(a.embedding::double[], b.embedding::double[]) as distance from embeddings a, embeddings b where a.vec_id <> b.vec_id),
+k as (select id, neighbour from (select id, neighbour, row_number() over (partition by id order by distance, neighbour) as r from d) where r <= 5)"""
+
+
+@query(f"""with {_KNN}, m as (select id, a.label, avg(case when a.label = b.label then 1.0 else 0.0 end) as p from k join embeddings a on a.vec_id = id join embeddings b on b.vec_id = neighbour group by 1, 2)
+select label, round(avg(p), 6) as purity, count(*) as n from m group by 1""")
 def neighbour_purity(spark, d):
     e = read(spark, d, "embeddings")
     n = vectors.knn(e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), 5)
-    return vectors.purity(n, e.select(F.col("vec_id").alias("id"), "label"))
+    return vectors.purity(n, e.select(F.col("vec_id").alias("id"), "label")).withColumn("purity", F.round("purity", 6))
 
 
 @query("""with p as (select c_custkey as id, c_nationkey as section, c_acctbal as x, c_acctbal * (c_custkey % 7) as y from customer), b as (select section, min(x) as x0, max(x) as x1, min(y) as y0, max(y) as y1 from p group by 1)
@@ -355,16 +360,21 @@ def spatial_grid_bins(spark, d):
     return vectors.grid_bins(c, "section", 8).select("id", "section", "token")
 
 
-@query(None)
+@query("""with x as (select vec_id as id, generate_subscripts(embedding, 1) as i, unnest(embedding)::double as x from embeddings), y as (select vec_id as id, generate_subscripts(embedding, 1) as i, unnest(list_reverse(embedding))::double as x from embeddings),
+xx as (select id, i, x - avg(x) over (partition by i) as x from x), yy as (select id, i, x - avg(x) over (partition by i) as x from y),
+c as (select sum(g * g) as s from (select sum(a.x * b.x) as g from xx a join yy b using (id) group by a.i, b.i)), cx as (select sqrt(sum(g * g)) as s from (select sum(a.x * b.x) as g from xx a join xx b using (id) group by a.i, b.i)),
+cy as (select sqrt(sum(g * g)) as s from (select sum(a.x * b.x) as g from yy a join yy b using (id) group by a.i, b.i)) select round(c.s / (cx.s * cy.s), 6) as cka, (select count(*) from embeddings) as n from c, cx, cy""")
 def linear_cka(spark, d):
     v = read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
-    return vectors.linear_cka(v, v.select("id", F.reverse("v").alias("v")))
+    return vectors.linear_cka(v, v.select("id", F.reverse("v").alias("v"))).withColumn("cka", F.round("cka", 6))
 
 
-@query(None)
+@query(f"""with {_KNN}, p as (select vec_id as id, list_sum(embedding::double[]) as value from embeddings), z as (select id, value - (select avg(value) from p) as z from p),
+e as (select id, neighbour from k union select neighbour, id from k) select round(((select count(*) from z) * (select sum(a.z * b.z) from e join z a on a.id = e.id join z b on b.id = neighbour)) / ((select count(*) from e) * (select sum(z * z) from z)), 6) as morans_i,
+(select count(*) from z) as n, (select count(*) from e) as weight""")
 def morans_i(spark, d):
     e = read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
-    return vectors.morans_i(e.select("id", F.aggregate("v", F.lit(0.0), lambda a, x: a + x).alias("value")), vectors.knn(e, 5))
+    return vectors.morans_i(e.select("id", F.aggregate("v", F.lit(0.0), lambda a, x: a + x).alias("value")), vectors.knn(e, 5)).withColumn("morans_i", F.round("morans_i", 6))
 
 
 @query("""with t as (select l_orderkey as cell_id, (l_partkey % 500) as token from lineitem where l_orderkey % 20 = 0), x as (select cell_id, generate_subscripts(embedding, 1) as i, unnest(embedding)::double as x from t join embeddings on vec_id = token),
@@ -387,7 +397,8 @@ def gene_set_algebra(spark, d):
     return out[0].union(out[1]).union(out[2])
 
 
-@query(None)
+@query("""with a as (select user_id as run, event_id as step, value as loss, min(value) over (partition by user_id order by event_id rows between unbounded preceding and 1 preceding) as best, row_number() over (partition by user_id order by event_id) as r from events),
+b as (select *, max(case when best is null or loss < best then r end) over (partition by run order by r rows unbounded preceding) as last from a) select run, min(step) filter (r - last >= 3) as stop from b group by 1""")
 def early_stopping(spark, d):
     e = read(spark, d, "events").select(F.col("user_id").alias("run"), F.col("event_id").alias("step"), F.col("value").alias("loss"))
     return folds.early_stops(e, 3)
@@ -441,3 +452,6 @@ def pooled_gene_embeddings_whole(spark, d):
     t = read(spark, d, "lineitem").crossJoin(n).select(F.col("l_orderkey").alias("cell_id"), ((F.col("l_orderkey") * 7 + F.col("l_partkey")) % F.col("n")).alias("token"))
     p = vectors.mean_pool(t, e, "cell_id", "token")
     return p.select("cell_id", F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x), 4).alias("pooled_sum"), F.size("v").cast("long").alias("dim"))
+
+
+from cellweave.plans import surveyed  # noqa: E402, F401  its queries are registered here

@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 
 def exactly_once(facts: DataFrame, identity: list[str]) -> DataFrame:
@@ -13,29 +14,22 @@ def exactly_once(facts: DataFrame, identity: list[str]) -> DataFrame:
     return facts.dropDuplicates(identity)
 
 
-def early_stop(losses: list[float], patience: int, delta: float = 0.0) -> int | None:
-    """The step at which training stops: no loss strictly below best - delta for ``patience`` steps."""
-    best, wait = float("inf"), 0
-    for i, loss in enumerate(losses):
-        if loss < best - delta:
-            best, wait = loss, 0
-        else:
-            wait += 1
-            if wait >= patience:
-                return i
-    return None
-
-
 def early_stops(losses: DataFrame, patience: int, delta: float = 0.0) -> DataFrame:
-    """``(run, step, loss)`` -> the stopping step of each run (null: none); a run is one ordered fold."""
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("step")
-        at = early_stop(pdf["loss"].tolist(), patience, delta)
-        stop = None if at is None else int(pdf["step"].iloc[at])
-        return pd.DataFrame({"run": [pdf["run"].iloc[0]], "stop": pd.array([stop], dtype="Int64")})
-
-    return losses.groupBy("run").applyInPandas(fold, "run long, stop long")
+    """``(run, step, loss)`` -> the stopping step of each run (null: none): no loss strictly below best - delta for ``patience`` steps.
+
+    With ``delta`` 0 the best is a running minimum, and all is windows; else it depends on which losses counted, and a run is one
+    ordered fold over its array of losses.
+    """
+    if delta:
+        step = "if(s.stop is not null, s, if(x.loss < s.best - {0}, named_struct('best', x.loss, 'wait', 0, 'stop', s.stop), named_struct('best', s.best, 'wait', s.wait + 1, 'stop', if(s.wait + 1 >= {1}, x.step, s.stop))))"
+        fold = f"aggregate(l, named_struct('best', double('infinity'), 'wait', 0, 'stop', cast(null as bigint)), (s, x) -> {step.format(delta, patience)}).stop"
+        entry = F.struct(F.col("step").cast("long").alias("step"), F.col("loss").cast("double").alias("loss"))
+        return losses.groupBy("run").agg(F.array_sort(F.collect_list(entry)).alias("l")).select("run", F.expr(fold).alias("stop"))
+    order = Window.partitionBy("run").orderBy("step")
+    seen = losses.withColumns({"best": F.min("loss").over(order.rowsBetween(Window.unboundedPreceding, -1)), "r": F.row_number().over(order)})
+    better = F.when(F.col("best").isNull() | (F.col("loss") < F.col("best")), F.col("r"))
+    waited = seen.withColumn("wait", F.col("r") - F.max(better).over(order))
+    return waited.groupBy("run").agg(F.min(F.when(F.col("wait") >= patience, F.col("step"))).alias("stop"))
 
 
 def early_stop_stream(losses: DataFrame, patience: int, delta: float = 0.0) -> DataFrame:
