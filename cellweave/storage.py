@@ -2,7 +2,8 @@
 
 Iterative operators cut their lineage by writing a table and reading it back, so a lost executor costs
 one re-read and never a recomputation of the loop.  The folder is the one named by the session setting
-``spark.checkpoint.dir``; where that is unset (tests, one machine) a temporary folder is made and set.
+``spark.checkpoint.dir``; where that is unset and all runs on one machine a temporary folder is made and set.  On a
+cluster an unset folder is an error, as executors would write to their own disks.
 """
 
 from __future__ import annotations
@@ -10,7 +11,6 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
-import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +20,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The shared folder of this session; made and recorded only where the session names none."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="cellweave-")
         atexit.register(shutil.rmtree, found, True)
         spark.conf.set("spark.checkpoint.dir", found)
@@ -36,13 +38,11 @@ class Scratch:
         self._open = True
         OPEN.append(self)
 
-    def write(self, df: DataFrame, name: str = "t", tidy: bool = False) -> DataFrame:
-        """Write ``df`` as Parquet and return a DataFrame that reads it back; ``tidy`` where it took a large shuffle."""
+    def write(self, df: DataFrame, name: str = "t") -> DataFrame:
+        """Write ``df`` as Parquet and return a DataFrame that reads it back."""
         self._n += 1
         path = f"{self.root}/{name}-{self._n}"
         df.write.option("compression", "zstd").parquet(path)
-        if tidy:
-            tidy_shuffles(self.spark)
         back = self.spark.read.schema(df.schema).parquet(path)
         back._cellweave_path = path
         return back
@@ -69,16 +69,6 @@ def release(keep: int = 0) -> None:
         OPEN.pop(0).close()
 
 
-def tidy_shuffles(spark: SparkSession) -> None:
-    """Free the shuffle files of plans that have been written: they go when the driver collects its garbage.
-
-    The first collection finds the plan, the second the shuffle that it held.
-    """
-    spark._jvm.System.gc()
-    time.sleep(0.2)
-    spark._jvm.System.gc()
-
-
 def delete(spark: SparkSession, path: str) -> None:
     jvm = spark._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
