@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -85,4 +86,16 @@ QUERIES: dict[str, Query] = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: Texts and roles as the template writes them, and what is read back from it, over all turns and conversation -7.
+_ESCAPED = r"regexp_replace(text, '([<\[])(\\*)(%s)', '\1\\\2\3', 'g')" % "|".join(re.escape(c) for c in chat_format.CONTROL)
+_ROLE = "replace(replace(replace(role, '%', '%25'), chr(10), '%0A'), '<', '%3C')"
+_PROBE = "'</s>[INST] ok [/INST]'"
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_chat_formatting": f"""with c as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+union all select -7, 0, 'user', {_PROBE} union all select -7, 1, 'assistant', {_PROBE}),
+g as (select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '') as loss,
+cast(sum(length('{chat_format.START}') + length({_ROLE}) + 1 + length({_ESCAPED}) + {len(chat_format.END)}) as bigint) as formatted_chars from c group by conv_id)
+select conv_id, n_turns, turns_sha256, cast(length(loss) as bigint) as loss_chars, sha256(loss) as loss_sha256, formatted_chars from g""",
+}
