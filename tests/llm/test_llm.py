@@ -433,3 +433,28 @@ def test_pipeline_stages_follow_each_other(spark):
 
 def test_all_ten_are_registered():
     assert [n.split("_")[0] for n in QUERIES] == [f"op{i}" for i in range(1, 11)]
+
+
+def test_large_ids_stay_beside_nulls(spark):
+    """Ids that a double cannot hold, with a null among them, come out as they went in."""
+    ids = [(1 << 60) + 1, (1 << 60) + 3, None, -(1 << 62) - 1]
+    docs = spark.createDataFrame([(i, words(k, 20), "a") for k, i in enumerate(ids)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, k % 2, k % 2) for k, i in enumerate(ids)], "doc_id long, quality int, toxic int")
+    got = [media.digest(media.media_columns(docs)), toxicity.toxicity(docs, labels), quality.quality(docs, labels), language_id.language_id(docs), ngram_join.ngram_join(docs, scratch(spark))]
+    for rows in got:
+        assert collections.Counter(r.doc_id for r in rows.collect()) == collections.Counter(ids)
+
+
+def test_hot_buckets_are_dealt_in_parts(spark, monkeypatch):
+    """A bucket of a third of all rows: its members' heads and predecessors still join it into one, in parts of bounded size."""
+    monkeypatch.setattr(components, "DRAWN", 1)
+    monkeypatch.setattr(components, "HOT", 50)
+    monkeypatch.setattr(components, "PART", 40)
+    rows = spark.range(600)
+    members = lambda r: r.select(F.when(F.col("id") < 200, 7).otherwise(F.col("id") % 301 + 1000).alias("key"), "id")
+    got = components.share(members, rows, scratch(spark)).collect()
+    hot = [r for r in got if r.key == 7]
+    assert {r.id for r in hot} | {0} == set(range(200)) and {(r.head, r.parts) for r in hot} == {(0, 5)}
+    assert {r.parts for r in got if r.key != 7} == {1}
+    pairs = {(r.head, r.id) for r in got if r.key != 7 and r.prev is not None}
+    assert pairs == {(a, b) for a in range(200, 600) for b in range(a + 1, 600) if a % 301 == b % 301}
