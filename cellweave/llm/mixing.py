@@ -8,9 +8,9 @@ its blocks are cut from that sequence, every block is taken the same number of t
 blocks in the seeded order once more.
 
 A shard holds about ``shard_docs`` documents of one source, whatever the source's share of the table, so
-no window grows with the data.  Highest quotients are only listed near the boundary: rounding
-target / (total / seats) misses the seats by at most half the number of parties, and raising or lowering
-the divisor moves all parties one way, so a party's seats lie within that many of its rounded share.
+no window of documents grows with the data.  Highest quotients are only listed near the boundary, about two a party:
+for n parties and S seats, rounding each share of S + n / 2 seats gives at least S in all, so it holds the S highest
+quotients, and rounding each share of S - n / 2 seats gives at most S, so all of those are won.
 
 Nulls: a null text has size 0; documents of a null source are one source, last in order.  A source of
 size 0 has target 0.  Repeated rows are documents of their own (ties in the seeded order are
@@ -62,16 +62,17 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
 
 
 def sainte_lague(parties: DataFrame, group: list[str], key: list[str], votes: str, seats: str) -> DataFrame:
-    """Adds ``quota``: the seats of each party of a group by the highest quotients votes / (2k - 1); ties go by ``key``."""
+    """Adds ``quota``: the seats of each party of a group by the highest quotients votes / (2k - 1); ties go by ``key``.
+
+    Between the two divisors a group of n parties lists 2n + 2 quotients at most (one seat more on either side is for rounding).
+    """
     whole = Window.partitionBy(*group)
     asked = parties.withColumn("__n", F.count("*").over(whole)).withColumn("__votes", F.sum(votes).over(whole))
-    share = F.when(F.col("__votes") > 0, F.col(seats) * F.col(votes) / F.col("__votes")).otherwise(F.lit(0.0))
-    reach = (F.col("__n") / 2 + 1).cast("long")
-    asked = asked.withColumn("__base", F.greatest(F.floor(share + 0.5) - reach, F.lit(0)).cast("long"))
+    slack = F.col("__n") / 2 + 1
+    rounded = lambda of: F.when(F.col("__votes") > 0, F.floor(of * F.col(votes) / F.col("__votes") + 0.5)).otherwise(0).cast("long")
+    asked = asked.withColumn("__base", rounded(F.greatest(F.col(seats) - slack, F.lit(0.0)))).withColumn("__high", rounded(F.col(seats) + slack))
     asked = asked.withColumn("__left", F.col(seats) - F.sum("__base").over(whole))
-    tried = asked.where((F.col(votes) > 0) & (F.col("__left") > 0)).select(
-        *group, *key, "__left", F.explode(F.sequence(F.col("__base") + 1, F.col("__base") + 2 * reach + 1)).alias("__k"), votes
-    )
+    tried = asked.where((F.col("__high") > F.col("__base")) & (F.col("__left") > 0)).select(*group, *key, "__left", F.explode(F.sequence(F.col("__base") + 1, F.col("__high"))).alias("__k"), votes)
     order = Window.partitionBy(*group).orderBy(F.desc(F.col(votes) / (2 * F.col("__k") - 1)), *[F.col(k).asc_nulls_last() for k in key], "__k")
     won = tried.withColumn("__r", F.row_number().over(order)).where("__r <= __left").groupBy(*group, *key).agg(F.count("*").alias("__won"))
     names = list(dict.fromkeys([*group, *key]))
