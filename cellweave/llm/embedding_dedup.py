@@ -11,6 +11,10 @@ nearest pivot, and a large cell is split into blocks.  A cell's radius is its la
 By the triangle inequality a vector has to meet the blocks of another cell only if its angle to that pivot is at most the
 radius plus the threshold angle.  No pair above the threshold is missed, whatever the sample was.
 
+Equal vectors are compared once, by the smallest row among them, with their number as weight; what is found is given
+back to every copy.  Groups of copies of over ``COMMON`` rows and over one row in ``COMMON`` are joined by
+broadcast, of which there are fewer than ``COMMON``; the others by shuffle.
+
 Tasks return a row a vector: its number of links in that pair of blocks, and the smallest row it
 is connected with there.  Pairs never leave a task; ``components`` unites the rest.
 
@@ -28,17 +32,25 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellweave.llm.components import components
+from cellweave.llm.components import components, small
 from cellweave.storage import Scratch
 
 THRESHOLD = 0.95
 BLOCK = 2048
 PIVOTS = 256
 TILE = 1024
+#: See above; fewer than this many vectors are broadcast.
+COMMON = 5000
 #: Over the rounding of float32 tile products of unit vectors and of the bound itself.
 MARGIN = 1e-5
 
 
+def unit_rows(x: np.ndarray) -> np.ndarray:
+    """Rows scaled to length 1; by their largest component first, as squares of huge or tiny ones leave the range of doubles."""
+    x = x / np.abs(x).max(axis=1)[:, None]
+    return x / np.linalg.norm(x, axis=1)[:, None]
+
+
 def quantise(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Unit rows -> int8 rows, their scales, and the exact length of each row's error (rounded up)."""
     scale = np.abs(unit).max(axis=1) / 127.0
@@ -49,7 +61,7 @@ def quantise(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def near_pairs(x: np.ndarray, y: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs of rows of ``x`` and ``y`` (double) with cosine >= threshold, tile by tile."""
-    ux, uy = x / np.linalg.norm(x, axis=1)[:, None], y / np.linalg.norm(y, axis=1)[:, None]
+    ux, uy = unit_rows(x), unit_rows(y)
     (qx, sx, ex), (qy, sy, ey) = quantise(ux), quantise(uy)
     # an int8 product summed over 64 to 1000 dimensions is exact in float32, where the fast product is
     exact = x.shape[1] * 127 * 127 < 1 << 24
@@ -96,7 +108,7 @@ def _compare(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
     pdf = pdf.sort_values("rid")
     x = np.array(pdf["embedding"].tolist(), np.float64)
     rid, side = pdf["rid"].to_numpy(), pdf["block"].to_numpy()
-    links = np.zeros(len(pdf), np.int64)
+    links, weight = np.zeros(len(pdf), np.int64), pdf["copies"].to_numpy()
     left = np.flatnonzero(side == pdf["bi"].iloc[0])
     pairs = []
     if pdf["bi"].iloc[0] == pdf["bj"].iloc[0]:
@@ -110,7 +122,8 @@ def _compare(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
         if len(left) and len(right):
             pairs = [(left[m], right[n]) for m, n in near_pairs(x[left], x[right], threshold)]
     for m, n in pairs:
-        links += np.bincount(m, minlength=len(links)) + np.bincount(n, minlength=len(links))
+        np.add.at(links, m, weight[n])
+        np.add.at(links, n, weight[m])
     out = pd.DataFrame({"rid": rid, "links": links, "root": rid[_roots(len(rid), pairs)]})
     return out[out["links"] > 0]
 
@@ -121,45 +134,54 @@ def embedding_dedup(vectors: DataFrame, scratch: Scratch, threshold: float = THR
     usable = F.coalesce((F.size("embedding") > 0) & finite & F.exists("embedding", lambda v: v != 0), F.lit(False))
     rows = vectors.select("vec_id", "embedding").withColumn("usable", usable)
     rows = scratch.write(rows.withColumn("rid", F.monotonically_increasing_id()), "vectors")
-    use = rows.where("usable").select("rid", "embedding", F.size("embedding").alias("dim"))
+    grouped = rows.where("usable").groupBy("embedding")
+    kinds = scratch.write(grouped.agg(F.min("rid").alias("rid"), F.count("*").alias("copies"), F.min("vec_id").alias("low_id")), "kinds")
+    use = kinds.select("rid", "copies", "embedding", F.size("embedding").alias("dim"))
     parts = [_compared(use.where(F.col("dim") == d.dim).drop("dim"), d.n, scratch, threshold, block, pivots) for d in use.groupBy("dim").agg(F.count("*").alias("n")).orderBy("dim").collect()]
-    own = rows.select("rid", "vec_id")
-    if not parts:
-        return own.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.union(p)
-    found = scratch.write(found, "found")
-    comp = components(found.select(F.col("rid").alias("a"), F.col("root").alias("b")).where("a <> b"), scratch)
-    links = found.groupBy("rid").agg(F.sum("links").alias("n_links"))
-    smallest = comp.join(own.withColumnRenamed("rid", "id"), "id").groupBy("comp").agg(F.min("vec_id").alias("component_id"))
-    grouped = comp.join(smallest, "comp").select(F.col("id").alias("rid"), "component_id")
-    done = own.join(links, "rid", "left").join(grouped, "rid", "left")
-    done = done.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+    alone = ["vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")]
+    done = rows.where("not usable").select(*alone)
+    if parts:
+        found = parts[0]
+        for p in parts[1:]:
+            found = found.union(p)
+        found = scratch.write(found, "found")
+        comp = components(found.select(F.col("rid").alias("a"), F.col("root").alias("b")).where("a <> b"), scratch).toDF("rid", "comp")
+        links = found.groupBy("rid").agg(F.sum("links").alias("links"))
+        linked = kinds.join(links, "rid", "left").join(comp, "rid", "left").where("links is not null or copies > 1")
+        own = (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
+        linked = scratch.write(linked.select("embedding", "copies", own, F.coalesce("comp", "rid").alias("comp"), "low_id"), "linked")
+        smallest = scratch.write(linked.groupBy("comp").agg(F.min("low_id").alias("component_id")), "smallest")
+        told = linked.join(small(smallest, 32), "comp").select("embedding", "copies", "n_links", "component_id")
+        common = F.col("copies") > max(COMMON, rows.count() // COMMON)
+        heavy, rare = (told.where(c).select("embedding", F.lit(True).alias("found"), "n_links", "component_id") for c in (common, ~common))
+        often = scratch.write(rows.where("usable").select("vec_id", "embedding").join(F.broadcast(heavy), "embedding", "left"), "often")
+        rest = often.where("found is null").select("vec_id", "embedding").join(rare, "embedding", "left")
+        for met in (often.where("found"), rest.where("found")):
+            done = done.union(met.select("vec_id", "n_links", F.coalesce("component_id", "vec_id").alias("component_id")))
+        done = done.union(rest.where("found is null").select(*alone))
     return done.withColumn("kept", F.expr("vec_id <=> component_id"))
 
 
 def _compared(use: DataFrame, n: int, scratch: Scratch, threshold: float, block: int, pivots: int) -> DataFrame:
-    """The links of vectors of one dimension: ``(rid, links, root)``, a row for each vector and pair of blocks with links."""
+    """The links of the kinds of vectors ``use(rid, embedding, copies)`` of one dimension: ``(rid, links, root)``, a row for each vector and pair of blocks with links."""
     wanted = max(1, min(pivots, -(-n // block)))
     drawn = use.orderBy(F.xxhash64("rid"), "rid").limit(wanted).collect()
-    centre = np.array([r.embedding for r in drawn], np.float64)
-    centre /= np.linalg.norm(centre, axis=1)[:, None]
+    centre = unit_rows(np.array([r.embedding for r in drawn], np.float64))
 
     kind = use.schema["embedding"].dataType.simpleString()
 
     def angles(pdf: pd.DataFrame) -> np.ndarray:
         x = np.array(pdf["embedding"].tolist(), np.float64)
-        return np.arccos(np.clip(x / np.linalg.norm(x, axis=1)[:, None] @ centre.T, -1, 1))
+        return np.arccos(np.clip(unit_rows(x) @ centre.T, -1, 1))
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if len(pdf):
                 a = angles(pdf)
                 cell = a.argmin(axis=1)
-                yield pd.DataFrame({"rid": pdf["rid"], "cell": cell.astype(np.int32), "angle": a[np.arange(len(a)), cell], "embedding": pdf["embedding"]})
+                yield pd.DataFrame({"rid": pdf["rid"], "copies": pdf["copies"], "cell": cell.astype(np.int32), "angle": a[np.arange(len(a)), cell], "embedding": pdf["embedding"]})
 
-    celled = scratch.write(use.mapInPandas(assign, f"rid long, cell int, angle double, embedding {kind}"), "cells")
+    celled = scratch.write(use.mapInPandas(assign, f"rid long, copies long, cell int, angle double, embedding {kind}"), "cells")
     stats = {r.cell: r for r in celled.groupBy("cell").agg(F.max("angle").alias("radius"), F.count("*").alias("m")).collect()}  # at most `pivots` rows
     cells = sorted(stats)
     split = {c: -(-stats[c].m // block) for c in cells}
@@ -172,14 +194,14 @@ def _compared(use: DataFrame, n: int, scratch: Scratch, threshold: float, block:
                 continue
             meets = angles(pdf)[:, cells] <= reach[None, :]
             for r in range(0, len(pdf), 256):  # bounded output batches
-                out = {"rid": [], "block": [], "bi": [], "bj": [], "embedding": []}
-                for rid, c, e, ok in zip(pdf["rid"][r : r + 256], pdf["cell"][r : r + 256], pdf["embedding"][r : r + 256], meets[r : r + 256], strict=True):
+                out = {"rid": [], "copies": [], "block": [], "bi": [], "bj": [], "embedding": []}
+                for rid, w, c, e, ok in zip(pdf["rid"][r : r + 256], pdf["copies"][r : r + 256], pdf["cell"][r : r + 256], pdf["embedding"][r : r + 256], meets[r : r + 256], strict=True):
                     mine = first[c] + rid * 0x9E3779B1 % 4294967311 % split[c]
                     for k in np.flatnonzero(ok):
                         for other in range(first[cells[k]], first[cells[k]] + split[cells[k]]):
-                            for name, v in (("rid", rid), ("block", mine), ("bi", min(mine, other)), ("bj", max(mine, other)), ("embedding", e)):
+                            for name, v in (("rid", rid), ("copies", w), ("block", mine), ("bi", min(mine, other)), ("bj", max(mine, other)), ("embedding", e)):
                                 out[name].append(v)
                 yield pd.DataFrame(out)
 
-    dealt = celled.select("rid", "cell", "embedding").mapInPandas(spread, f"rid long, block int, bi int, bj int, embedding {kind}")
+    dealt = celled.select("rid", "copies", "cell", "embedding").mapInPandas(spread, f"rid long, copies long, block int, bi int, bj int, embedding {kind}")
     return dealt.groupBy("bi", "bj").applyInPandas(lambda pdf: _compare(pdf, threshold), "rid long, links long, root long")

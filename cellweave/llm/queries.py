@@ -98,4 +98,10 @@ g as (select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) ||
 coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '') as loss,
 cast(sum(length('{chat_format.START}') + length({_ROLE}) + 1 + length({_ESCAPED}) + {len(chat_format.END)}) as bigint) as formatted_chars from c group by conv_id)
 select conv_id, n_turns, turns_sha256, cast(length(loss) as bigint) as loss_chars, sha256(loss) as loss_sha256, formatted_chars from g""",
+    "op8_embedding_near_dedup": """with recursive v as (select row_number() over () as rid, vec_id, embedding::double[] as e from embeddings),
+u as (select rid, e from v where len(e) > 0 and len(list_filter(e, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(e, lambda x: x <> 0)) > 0),
+p as (select a.rid as a, b.rid as b from u a, u b where a.rid <> b.rid and case when len(a.e) = len(b.e) then list_cosine_similarity(a.e, b.e) >= 0.95 else false end),
+r as (select rid, rid as reach from v union select r.rid, p.b from r join p on p.a = r.reach),
+c as (select r.rid, min(w.vec_id) as component_id from r join v w on w.rid = r.reach group by 1), l as (select a as rid, count(*) as n from p group by 1)
+select vec_id, coalesce(n, 0) as n_links, component_id, vec_id is not distinct from component_id as kept from v join c using (rid) left join l using (rid)""",
 }

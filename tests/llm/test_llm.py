@@ -337,6 +337,24 @@ def test_sainte_lague(spark):
     assert {r.k: r.quota for r in mixing.sainte_lague(p, ["g"], ["k"], "v", "s").collect()} == {"a": 3, "b": 2, "c": 2}
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_sainte_lague_against_brute_force(spark, seed):
+    r = random.Random(seed)
+    groups = {g: ([r.choice([0, 1, 5, 5, 1000, 10**9]) if seed % 2 else r.randint(0, 50) for _ in range(r.choice([1, 2, 30, 90]))], r.randint(0, 4000)) for g in range(6)}
+    rows = [(g, k, v, s) for g, (votes, s) in groups.items() for k, v in enumerate(votes)]
+    got = {(q.g, q.k): q.quota for q in mixing.sainte_lague(spark.createDataFrame(rows, "g long, k long, v long, s long"), ["g"], ["k"], "v", "s").collect()}
+    for g, (votes, s) in groups.items():
+        want = [0] * len(votes)
+        for _ in range(s if any(votes) else 0):
+            want[min((k for k in range(len(votes)) if votes[k]), key=lambda k: (-votes[k] / (2 * want[k] + 1), k))] += 1
+        assert [got[g, k] for k in range(len(votes))] == want
+
+
+def test_two_thousand_parties_fill_every_seat(spark):
+    p = spark.range(2000).select(F.lit(1).alias("g"), F.col("id").alias("k"), (F.col("id") % 97 + 1).alias("v"), F.lit(70_001).alias("s"))
+    assert mixing.sainte_lague(p, ["g"], ["k"], "v", "s").agg(F.sum("quota")).first()[0] == 70_001
+
+
 def test_embeddings_against_brute_force(spark):
     r = np.random.default_rng(3)
     base = r.normal(size=(40, 16))
@@ -350,6 +368,29 @@ def test_embeddings_against_brute_force(spark):
     assert all(got[40 + i].component_id == i for i in range(20) if (u[i] @ u[40 + i]) >= 0.95)
 
 
+def test_copies_of_vectors_and_odd_rows(spark, monkeypatch):
+    """Copies count among the links by broadcast and by shuffle; huge, tiny and repeated rows; an empty table."""
+    r = np.random.default_rng(4)
+    base = r.normal(size=(6, 8))
+    near = base[0] + r.normal(size=8) * 0.02
+    x = [base[0]] * 30 + [near] * 3 + [base[1]] * 2 + list(base[2:]) + [base[2] * 1e200, base[3] * 1e-200]
+    ids = [None if i == 1 else 7 if i in (5, 6) else i for i in range(len(x))]
+    rows = [(i, [float(v) for v in row]) for i, row in zip(ids, x, strict=True)] + [(800, None), (801, [0.0] * 8)]
+    u = np.array([v / np.abs(v).max() for v in x])
+    u /= np.linalg.norm(u, axis=1)[:, None]
+    meets = (u @ u.T) >= 0.95
+    want = collections.Counter()
+    for i in range(len(x)):
+        low = min(k for j, k in enumerate(ids) if meets[i, j] and k is not None)
+        want[ids[i], int(meets[i].sum()) - 1, low, ids[i] == low] += 1
+    want.update([(800, 0, 800, True), (801, 0, 801, True)])
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for common in (10, 5000):
+        monkeypatch.setattr(embedding_dedup, "COMMON", common)
+        assert collections.Counter(tuple(q) for q in embedding_dedup.embedding_dedup(df, scratch(spark), block=4).collect()) == want
+    assert embedding_dedup.embedding_dedup(df.limit(0), scratch(spark)).count() == 0
+
+
 def test_quantisation_bound_holds():
     r = np.random.default_rng(5)
     x = r.normal(size=(200, 32))
