@@ -407,4 +407,4 @@ def early_stopping(spark, d):
     return folds.early_stops(e, 3)
 
 
-from cellweave.plans import findings, surveyed  # noqa: E402, F401  its queries are registered here
+from cellweave.plans import contracts, findings, surveyed  # noqa: E402, F401  its queries are registered here
