@@ -97,6 +97,34 @@ def test_interval_overlap_sees_long_early_intervals(spark):
     assert (got[2].hit, got[2].overlap, got[2].ambiguous) == (None, 1, True)
 
 
+def test_interval_overlap_against_all_pairs(spark):
+    """Random intervals in several buckets, with ties, copies, nulls and ids as text: as by comparing all pairs; no pair is a row of the plan."""
+    import random
+
+    r = random.Random(8)
+
+    def some(n, most):
+        out = [(f"{i:03d}" if r.random() > 0.03 else None, r.choice(["p", "q", None]) if r.random() < 0.3 else "p", s := r.randint(-60, 120), s + r.randint(-1, most)) for i in range(n)]
+        return [*out, *out[:5], ("900", "p", None, 4), ("901", "p", 9, None)]
+
+    left, right = some(250, 30), some(160, 70)
+    want = {}
+    for i in {x[0] for x in left} - {None}:
+        met = [(min(e, e2) - max(s, s2) + 1, hit, e - s + 1, e2 - s2 + 1) for j, q, s, e in left if i == j and q and s is not None and e is not None and s <= e for hit, q2, s2, e2 in right if q == q2 and s2 is not None and e2 is not None and s2 <= e2 and s <= e2 and s2 <= e]
+        if met:
+            best = [x for x in met if x[0] == max(y[0] for y in met)]
+            hit = min((x[1] for x in best if x[1]), default=None)
+            sizes = {x[3] for x in best if x[1] == hit} if hit else {None}
+            want[i] = (hit if len(best) == 1 else None, best[0][0], len(best) > 1, {None if z is None else min(best[0][0] / best[0][2], best[0][0] / z) for z in sizes})
+    kind = "id string, seq string, start long, end long"
+    for width in (7, 64, 1000):
+        got = joins.interval_overlap(spark.createDataFrame(left, kind), spark.createDataFrame(right, kind), width)
+        told = {x.id: x for x in got.collect()}
+        assert {k: (x.hit, x.overlap, x.ambiguous) for k, x in told.items()} == {k: v[:3] for k, v in want.items()}
+        assert all(told[k].reciprocal in v[3] or None in v[3] for k, v in want.items())
+        assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_identifiers(spark):
     df = spark.createDataFrame([("ENSG77.12",), ("9Q8.3",), ("FBgn5.1",)], "g string")
     assert rows(df.select(identifiers.strip_version(F.col("g")))) == [("9Q8.3",), ("ENSG77",), ("FBgn5",)]
