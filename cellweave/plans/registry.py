@@ -332,7 +332,7 @@ def expression_bins(spark, d):
 @query(None)
 def bootstrap_interval(spark, d):
     s = _scores(spark, d).where("score is not null").groupBy("species", "embryo_id").agg(F.avg("score").alias("m"))
-    return bootstrap.interval(s, bootstrap.draw_weights(s, ["species"]), ["species"])
+    return bootstrap.interval_of(s, bootstrap.drawn_means(s, ["species"]), ["species"])
 
 
 @query("""with d as (select a.vec_id as id, b.vec_id as neighbour, list_distance(a.embedding::double[], b.embedding::double[]) as distance from embeddings a, embeddings b where a.vec_id <> b.vec_id),

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cellweave.functions import identifiers
-from cellweave.operators import bins, bootstrap, joins, nulls, quality_control, ranking, sampling, vectors
+from cellweave.operators import aggregates, bins, bootstrap, joins, nulls, quality_control, ranking, sampling, vectors
 from cellweave.sources import sinks, text_formats
 from cellweave.streaming import folds
 
@@ -208,6 +208,19 @@ def test_bootstrap_draws_real_embryos(spark):
     assert got["a"].mean == 19.5 and abs(got["a"].half_width - 1.96 * (1599 / 12 / 40) ** 0.5) < 0.3
 
 
+def test_bootstrap_draws_without_shuffled_slots(spark, monkeypatch):
+    """The means of all draws equal those by weights, by broadcast and dealt out, and no plan shuffles a slot."""
+    s = spark.createDataFrame([(g, i * 3 % 41 + 100 * "abc".index(g), None if i == 5 else float(i) ** 1.5) for g, n in (("a", 41), ("b", 7), ("c", 1)) for i in range(n)], "species string, embryo_id long, m double")
+    w = aggregates.weighted_mean(s, bootstrap.draw_weights(s, ["species"], 50).drop("species"), ["draw", "species"])
+    want = {(x.draw, x.species): x.mean for x in w.collect()}
+    for most in (bootstrap.ARRAYS, 0):
+        monkeypatch.setattr(bootstrap, "ARRAYS", most)
+        got = bootstrap.drawn_means(s, ["species"], 50)
+        assert {(x.draw, x.species): pytest.approx(x.drawn) for x in got.collect()} == want and len(want) == 150
+        plan = got._jdf.queryExecution().sparkPlan().toString()
+        assert "Window" not in plan and "slot" not in plan
+
+
 def test_bootstrap_query_has_all_draws(spark):
     from cellweave.plans import registry
 
