@@ -22,6 +22,8 @@ Columns named ``gone`` or starting with ``__`` are used inside and must not come
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,6 +37,8 @@ BANDS = [(3 * x, 3 * x + 1, 3 * x + 2) for x in range(3)] + [tuple(3 * x + (a *
 THRESHOLD = 0.8
 #: Weight of a slab of a large bucket: a member weighs 1, and 1 more for each ``SHINGLES`` differing shingles.
 SLAB, SHINGLES = 256, 512
+#: Bytes of slabs that one write may shuffle to its pairs of slabs; more pairs are compared in rounds, each freed before the next.
+ROUND = 512 << 20
 #: Members of a bucket whose likely pairs may leave it as rows.
 MIDDLE = 32
 #: Least hashes kept of each set, and how many must agree: at 0.8 fewer do with a chance of a millionth.
@@ -146,10 +150,21 @@ def _large(classes: DataFrame, lines: DataFrame, scratch: Scratch, threshold: fl
         full = left.join(whole, "id").join(small(heads, 4096), "key").select("key", "id", "comp", "parts", F.expr("slice(keys, 1, cast(array_position(keys, key) as int) - 1)").alias("early"), _set("coded").alias("s"), _set("base").alias("b"))
         full = full.select("key", "id", "comp", "parts", "early", F.size("s").alias("n"), F.size("b").alias("nb"), F.array_except("b", "s").alias("minus"), F.array_except("s", "b").alias("plus"))
         full = full.withColumns({"sm": F.size("minus"), "sp": F.size("plus")})
-        placed = scratch.write(full, "placed").withColumn("w", F.expr(f"1 + (sm + sp) div {SHINGLES}"))
+        told = scratch.write(full, "placed")
+        scratch.drop(whole)
+        placed = told.withColumn("w", F.expr(f"1 + (sm + sp) div {SHINGLES}"))
         slabs = tiled(placed, "w", SLAB).groupBy("key", "slab").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.first("nb").alias("nb"), F.collect_list(F.struct("id", "comp", "n", "sm", "sp", "early", "minus", "plus")).alias("x"))
         slabs = scratch.write(slabs, "slabs")
-        met = slab_pairs(slabs).join(slabs.select("key", "slab", "nb", "x"), ["key", "slab"]).join(slabs.select("key", F.col("slab").alias("other"), F.col("x").alias("y")), ["key", "other"])
+        scratch.drop(told)
+        pairs = scratch.write(slab_pairs(slabs), "met")
+        held = slabs.agg(F.avg(F.expr("aggregate(x, 0L, (t, m) -> t + 80 + 8 * (m.sm + m.sp + size(m.early)))")).alias("bytes")).first().bytes or 0
+        rounds = max(1, -(-2 * pairs.count() * int(held) // ROUND))
+        found = [scratch.write(compared(slabs, pairs.where(F.pmod(F.xxhash64("key", "slab", "other"), F.lit(rounds)) == i)), "found") for i in range(rounds)]
+        scratch.drop(slabs)
+        return functools.reduce(DataFrame.union, found)
+
+    def compared(slabs: DataFrame, pairs: DataFrame) -> DataFrame:
+        met = pairs.join(slabs.select("key", "slab", "nb", "x"), ["key", "slab"]).join(slabs.select("key", F.col("slab").alias("other"), F.col("x").alias("y")), ["key", "other"])
         need = f"{threshold / (1 + threshold)} * (p.n + q.n) - 1e-9"
         near = f"""filter(y, q -> p.comp <> q.comp and (slab < other or p.id < q.id)
             and nb - greatest(p.sm, q.sm) + least(p.sp, q.sp) >= {need}
@@ -170,7 +185,8 @@ def _own(docs: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def _groups(docs: DataFrame, own: DataFrame, scratch: Scratch, threshold: float) -> DataFrame:
-    """Written ``(h1, h2, comp)`` for each distinct line that is near another."""
+    """Written ``(h1, h2, comp)`` for each distinct line that is near another; all other tables are freed."""
+    outer, scratch = scratch, Scratch(scratch.spark, "near")
     classes = scratch.write(signed(docs).withColumn("id", F.monotonically_increasing_id()), "classes")
     shared = share(_members, classes, scratch)
     wanted = classes.select("id", "h1", "h2").join(shared.select("id").distinct(), "id", "left_semi")
@@ -178,7 +194,9 @@ def _groups(docs: DataFrame, own: DataFrame, scratch: Scratch, threshold: float)
     lines = _texts(docs, scratch.write(wanted, "wanted")).select("id", "coded", F.sort_array(_set("coded")).alias("s"))
     lines = scratch.write(lines.select("id", "coded", F.size("s").alias("n"), F.slice("s", 1, SKETCH).alias("k")), "lines")
     comp = link(shared, _verifier(lines, scratch, threshold), _large(classes, lines, scratch, threshold), scratch)
-    return scratch.write(classes.select("id", "h1", "h2").join(comp, "id").select("h1", "h2", "comp"), "near")
+    near = outer.write(classes.select("id", "h1", "h2").join(comp, "id").select("h1", "h2", "comp"), "near")
+    scratch.close()
+    return near
 
 
 def line_groups(docs: DataFrame, scratch: Scratch, threshold: float = THRESHOLD) -> DataFrame:

@@ -11,6 +11,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from cellweave import storage
 from cellweave.llm import chat_format, components, embedding_dedup, language_id, line_dedup, media, mixing, ngram_join, packing, quality, toxicity
 from cellweave.llm.queries import QUERIES, tokenizer_path
 from cellweave.storage import Scratch
@@ -499,3 +500,49 @@ def test_hot_buckets_are_dealt_in_parts(spark, monkeypatch):
     assert {r.parts for r in got if r.key != 7} == {1}
     pairs = {(r.head, r.id) for r in got if r.key != 7 and r.prev is not None}
     assert pairs == {(a, b) for a in range(200, 600) for b in range(a + 1, 600) if a % 301 == b % 301}
+
+
+def _files(spark):
+    """Shuffle files and written tables on this machine."""
+    import pathlib
+
+    local = pathlib.Path(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()[0])
+    return {p for p in local.rglob("shuffle_*.data")}
+
+
+def test_scratch_writes_leave_no_shuffle_files(spark):
+    """The shuffles of a written table go with the write, and the session's setting stays as it was."""
+    before, s = _files(spark), scratch(spark)
+    was = spark.conf.get(storage.FREE, None)
+    got = s.write(spark.range(2000).repartition(3).groupBy((F.col("id") % 7).alias("k")).count())
+    assert got.count() == 7 and spark.conf.get(storage.FREE, None) == was
+    left = {p for p in _files(spark) - before}
+    assert len(left) <= 4  # those of got.count() itself
+    s.close()
+    assert s not in storage.OPEN
+
+
+def test_line_dedup_frees_its_tables_and_compares_in_rounds(spark, monkeypatch):
+    """Large buckets compared in many rounds give the same groups as in one, and only what the result reads stays written."""
+    import pathlib
+
+    rnd = random.Random(12)
+    base = "".join(rnd.choice("abcdefghij ") for _ in range(120))
+    docs = [(i, "\n".join(base[: (k := rnd.randint(0, 118))] + rnd.choice("XYZW") + base[k + 1 :] + f" {rnd.randint(0, 30)}" for _ in range(2))) for i in range(40)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+
+    def groups(s):
+        out = collections.defaultdict(set)
+        for r in line_dedup.line_groups(df, s).collect():
+            out[r.comp].add((r.h1, r.h2))
+        return sorted(map(sorted, out.values()))
+
+    monkeypatch.setattr(line_dedup, "SLAB", 8)
+    monkeypatch.setattr(components, "SWEEPS", 0)
+    first = scratch(spark)
+    once = groups(first)
+    monkeypatch.setattr(line_dedup, "ROUND", 3_000_000)
+    second = scratch(spark)
+    assert groups(second) == once and len(once) >= 1
+    names = {p.name.rsplit("-", 1)[0] for p in pathlib.Path(second.root.removeprefix("file://")).iterdir()}
+    assert names <= {"rows", "own", "near"}
