@@ -10,8 +10,9 @@ near its equals only).  Two lines are near when the Jaccard similarity of their
    lines: any five matching values hold a line, so a pair of similarity 0.8 meets with probability 0.990, one of 0.85
    with 0.997.  (Twelve disjoint bands of three would need 36 values.)
 3. ``components.link`` tests candidates on their whole shingle sets and unites them.  Set sizes and the least hashes of each
-   set leave out pairs that are surely not near (wrongly one in a million).  The members of a large bucket are held as
-   differences from the bucket's first line, so two of them are compared exactly by their few differing shingles.
+   set leave out pairs that are surely not near (wrongly one in a million).  A large bucket is first split by the rarest of
+   those hashes.  The members that this does not part are held as differences from the bucket's first line, so two of them
+   are compared exactly by their few differing shingles.
 4. Of each component, the line first in (doc_id, row, position) stays; blank lines always stay.
 
 Nulls: a null text has no lines and stays null; a null doc_id comes last.  Rows that repeat a doc_id, or have
@@ -135,11 +136,35 @@ def _large(classes: DataFrame, lines: DataFrame, scratch: Scratch, threshold: fl
         pairs = F.expr(f"flatten(transform(x, p -> transform({likely}, q -> named_struct('a', p.id, 'b', q.id))))")
         return _verifier(lines, scratch, threshold)(held.select(F.inline(pairs)).distinct())
 
+    def split(left: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Large buckets -> memberships of small buckets inside them, and those members for which that is not enough.
+
+        Unrelated lines share a bucket by their most frequent shingles.  Of two sketches with ``AGREE`` hashes in common, the rarest
+        hashes of each, all but ``AGREE - 1``, meet (the prefix filter, any order of the hashes that is the same for both): members
+        that share one of those form a small bucket.  One of more than ``MIDDLE`` leaves its members in the large bucket.
+        """
+        held = scratch.write(left.join(narrow(lines.select("id", "n", "k"), left.select("id").distinct(), ["id"], 16), "id").select("key", "id", "comp", "n", "k"), "held")
+        often = held.select("key", "comp", F.explode("k").alias("x")).groupBy("key", "x").agg(F.count("*").alias("c"), F.min("comp").alias("low"), F.max("comp").alias("high"))
+        often = scratch.write(often.where("c > 1").select("key", "x", "c", F.expr("low < high").alias("mixed")), "often")
+        met = held.select("key", "id", "comp", "n", F.size("k").alias("m"), F.explode("k").alias("x")).join(often, ["key", "x"], "left")
+        ranked = met.groupBy("key", "id").agg(F.first("comp").alias("comp"), F.first("n").alias("n"), F.first("m").alias("m"), F.sort_array(F.collect_list(F.struct(F.coalesce("c", F.lit(1)).alias("c"), "x", F.coalesce("mixed", F.lit(False)).alias("mixed")))).alias("x"))
+        # a partner may have fewer hashes, and then fewer need to agree
+        rare = f"slice(x, 1, m - least({AGREE}, cast(ceil({threshold} * n - 1e-9) as int) div 2) + 1)"
+        rows = scratch.write(ranked.select("key", "id", "comp", F.explode(F.expr(f"transform(filter({rare}, z -> z.mixed), z -> z.x)")).alias("x")), "rare")
+        scratch.drop(held)
+        scratch.drop(often)
+        inner = rows.groupBy("key", "x").agg(F.count("*").alias("c"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key", "x", "c")
+        rows = scratch.write(rows.join(inner, ["key", "x"]), "inner")
+        found = rows.where(f"c <= {MIDDLE}").select(F.xxhash64("key", "x").alias("key"), "id", "comp")
+        return found, left.join(rows.where(f"c > {MIDDLE}").select("key", "id").distinct(), ["key", "id"], "left_semi")
+
     def large(left: DataFrame) -> DataFrame:
         many = left.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > MIDDLE).select("key")
         many = small(scratch.write(many, "many"), 24)
-        few = scratch.write(middle(left.join(many, "key", "left_anti")), "edges")
-        return few.union(hot(left.join(many, "key", "left_semi")))
+        found, rest = split(left.join(many, "key", "left_semi"))
+        few = scratch.write(middle(left.join(many, "key", "left_anti").select("key", "id", "comp").union(found)), "edges")
+        rest = scratch.write(rest, "rest")
+        return few.union(hot(rest)) if rest.limit(1).count() else few
 
     def hot(left: DataFrame) -> DataFrame:
         ids = scratch.write(left.select("id").distinct(), "ids")

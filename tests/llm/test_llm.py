@@ -546,3 +546,16 @@ def test_line_dedup_frees_its_tables_and_compares_in_rounds(spark, monkeypatch):
     assert groups(second) == once and len(once) >= 1
     names = {p.name.rsplit("-", 1)[0] for p in pathlib.Path(second.root.removeprefix("file://")).iterdir()}
     assert names <= {"rows", "own", "near"}
+
+
+def test_unrelated_lines_of_a_large_bucket_are_not_compared_in_slabs(spark, monkeypatch):
+    """One bucket of 300 unrelated lines and 20 pairs of near ones: the pairs are found as by brute force, and no line goes to slabs."""
+    pairs = [words(s, 30) for s in range(500, 520)]
+    docs = [words(s, 20 + s % 30) for s in range(300)] + pairs + [p + " xy" for p in pairs]
+    monkeypatch.setattr(line_dedup, "_keys", lambda: F.array(F.lit(1).cast("long")))
+    monkeypatch.setattr(components, "SWEEPS", 0)
+    slabs, pair_slabs = [], line_dedup.slab_pairs
+    monkeypatch.setattr(line_dedup, "slab_pairs", lambda t: slabs.append(t.count()) or pair_slabs(t))
+    got = line_dedup.line_groups(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"), scratch(spark)).collect()
+    assert sorted((r.keep_doc) for r in got) == sorted(2 * list(range(300, 320)))
+    assert sum(slabs) == 0
