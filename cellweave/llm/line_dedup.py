@@ -44,6 +44,8 @@ ROUND = 512 << 20
 MIDDLE = 32
 #: Least hashes kept of each set, and how many must agree: at 0.8 fewer do with a chance of a millionth.
 SKETCH, AGREE = 24, 12
+#: Bits of the map of wanted lines for each of them, and 64-bit words of one of its rows.
+PLACE_BITS, CHUNK = 16, 1024
 #: Odd multipliers, one a hash function.
 FACTORS = [(i * 0x9E3779B1) % (1 << 31) | 1 for i in range(1, VALUES + 1)]
 WORD = (1 << 32) - 1
@@ -91,12 +93,28 @@ def _set(coded: str) -> Column:
     return F.expr(f"array_distinct(transform(array({coded}), c -> transform(sequence(1, octet_length(c) - {2 * Q - 1}, 2), i -> xxhash64(substring(c, i, {2 * Q}))))[0])")
 
 
+def _bits(places: DataFrame, n: int) -> tuple[DataFrame, Column]:
+    """A bit map of ``n`` places ``(__row, pos)`` as broadcast ``(chunk, words)``, and the bit of a place in it.
+
+    ``PLACE_BITS`` bits a place, fewer where that would exceed ``SMALL_BYTES``; then more other places pass.
+    """
+    chunks = max(1, min(-(-n * PLACE_BITS // (64 * CHUNK)), SMALL_BYTES // (8 * CHUNK)))
+    bit = F.pmod(F.xxhash64("__row", "pos"), F.lit(chunks * CHUNK * 64))
+    held = places.select(bit.alias("bit")).groupBy(F.expr("bit div 64").alias("id")).agg(F.expr("bit_or(shiftleft(1L, cast(bit % 64 as int)))").alias("word"))
+    words = places.sparkSession.range(chunks * CHUNK).join(held, "id", "left").select(F.expr(f"id div {CHUNK}").alias("chunk"), "id", F.coalesce("word", F.lit(0).cast("long")).alias("word"))
+    return F.broadcast(words.groupBy("chunk").agg(F.expr("transform(sort_array(collect_list(struct(id, word))), w -> w.word)").alias("words"))), bit
+
+
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The lines of ``wanted(id, __row, pos)``, each read at one place: ``(id, coded)``, in two-byte characters."""
-    by_doc = wanted.groupBy("__row").agg(F.collect_list(F.struct("pos", "id")).alias("at"))
-    found = narrow(docs.select("__row", "text"), by_doc, ["__row"], 256)
-    cut = found.select(F.split("text", "\n").alias("lines"), "at").select(F.inline(F.expr("transform(at, a -> struct(a.id as id, lines[a.pos] as line))")))
-    return cut.select("id", F.lower("line").alias("line")).select("id", F.encode(_trim("line"), "UTF-16BE").alias("coded"))
+    """The lines of written ``wanted(id, __row, pos)``, each read at one place: ``(id, coded)``, in two-byte characters.
+
+    Texts stay where they are: only lines whose place a bit map of the wanted ones lets through are shuffled.
+    """
+    chunks, bit = _bits(wanted, wanted.count())
+    every = docs.select("__row", F.posexplode(F.split("text", "\n")).alias("pos", "line")).withColumn("bit", bit).withColumn("chunk", F.expr(f"bit div {64 * CHUNK}"))
+    passed = every.join(chunks, "chunk").where(f"shiftright(words[cast(bit div 64 % {CHUNK} as int)], cast(bit % 64 as int)) & 1 = 1").select("__row", "pos", "line")
+    found = passed.join(wanted, ["__row", "pos"]).select("id", F.lower("line").alias("line"))
+    return found.select("id", F.encode(_trim("line"), "UTF-16BE").alias("coded"))
 
 
 def _verifier(lines: DataFrame, scratch: Scratch, threshold: float):
@@ -141,22 +159,24 @@ def _large(classes: DataFrame, lines: DataFrame, scratch: Scratch, threshold: fl
 
         Unrelated lines share a bucket by their most frequent shingles.  Of two sketches with ``AGREE`` hashes in common, the rarest
         hashes of each, all but ``AGREE - 1``, meet (the prefix filter, any order of the hashes that is the same for both): members
-        that share one of those form a small bucket.  One of more than ``MIDDLE`` leaves its members in the large bucket.
+        that share one of those form a small bucket.  A hash that more than ``MIDDLE`` members of the bucket have makes no rows:
+        who would meet others by it stays in the large bucket.
         """
-        held = scratch.write(left.join(narrow(lines.select("id", "n", "k"), left.select("id").distinct(), ["id"], 16), "id").select("key", "id", "comp", "n", "k"), "held")
+        held = scratch.write(left.join(narrow(lines.select("id", "n", "k"), left.select("id").distinct(), ["id"], 16), "id").select("key", "id", "comp", "parts", "n", "k"), "held")
         often = held.select("key", "comp", F.explode("k").alias("x")).groupBy("key", "x").agg(F.count("*").alias("c"), F.min("comp").alias("low"), F.max("comp").alias("high"))
         often = scratch.write(often.where("c > 1").select("key", "x", "c", F.expr("low < high").alias("mixed")), "often")
-        met = held.select("key", "id", "comp", "n", F.size("k").alias("m"), F.explode("k").alias("x")).join(often, ["key", "x"], "left")
-        ranked = met.groupBy("key", "id").agg(F.first("comp").alias("comp"), F.first("n").alias("n"), F.first("m").alias("m"), F.sort_array(F.collect_list(F.struct(F.coalesce("c", F.lit(1)).alias("c"), "x", F.coalesce("mixed", F.lit(False)).alias("mixed")))).alias("x"))
+        met = held.select("key", "id", "comp", "parts", "n", F.size("k").alias("m"), F.explode("k").alias("x")).join(often, ["key", "x"], "left")
+        ranked = met.groupBy("key", "id").agg(*[F.first(c).alias(c) for c in ("comp", "parts", "n", "m")], F.sort_array(F.collect_list(F.struct(F.coalesce("c", F.lit(1)).alias("c"), "x", F.coalesce("mixed", F.lit(False)).alias("mixed")))).alias("x"))
         # a partner may have fewer hashes, and then fewer need to agree
         rare = f"slice(x, 1, m - least({AGREE}, cast(ceil({threshold} * n - 1e-9) as int) div 2) + 1)"
-        rows = scratch.write(ranked.select("key", "id", "comp", F.explode(F.expr(f"transform(filter({rare}, z -> z.mixed), z -> z.x)")).alias("x")), "rare")
+        rows = ranked.select("key", "id", "comp", "parts", F.expr(f"filter({rare}, z -> z.mixed)").alias("rare"))
+        rows = rows.select("key", "id", "comp", "parts", F.expr(f"transform(filter(rare, z -> z.c <= {MIDDLE}), z -> z.x)").alias("few"), F.expr(f"exists(rare, z -> z.c > {MIDDLE})").alias("many"))
+        rows = scratch.write(rows.where("many or size(few) > 0"), "rare")
         scratch.drop(held)
         scratch.drop(often)
-        inner = rows.groupBy("key", "x").agg(F.count("*").alias("c"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key", "x", "c")
-        rows = scratch.write(rows.join(inner, ["key", "x"]), "inner")
-        found = rows.where(f"c <= {MIDDLE}").select(F.xxhash64("key", "x").alias("key"), "id", "comp")
-        return found, left.join(rows.where(f"c > {MIDDLE}").select("key", "id").distinct(), ["key", "id"], "left_semi")
+        met = rows.select("key", "id", "comp", F.explode("few").alias("x")).groupBy("key", "x").agg(F.collect_list(F.struct("id", "comp")).alias("m"), F.min("comp").alias("low"), F.max("comp").alias("high"))
+        found = met.where("low < high").select(F.xxhash64("key", "x").alias("key"), F.inline("m"))
+        return found, rows.where("many").select("key", "id", "comp", "parts")
 
     def large(left: DataFrame) -> DataFrame:
         many = left.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > MIDDLE).select("key")
@@ -214,10 +234,14 @@ def _groups(docs: DataFrame, own: DataFrame, scratch: Scratch, threshold: float)
     outer, scratch = scratch, Scratch(scratch.spark, "near")
     classes = scratch.write(signed(docs).withColumn("id", F.monotonically_increasing_id()), "classes")
     shared = share(_members, classes, scratch)
-    wanted = classes.select("id", "h1", "h2").join(shared.select("id").distinct(), "id", "left_semi")
-    wanted = own.join(wanted, ["h1", "h2"]).groupBy("id").agg(F.min(F.struct("__row", "pos")).alias("at")).select("id", "at.__row", "at.pos")
-    lines = _texts(docs, scratch.write(wanted, "wanted")).select("id", "coded", F.sort_array(_set("coded")).alias("s"))
-    lines = scratch.write(lines.select("id", "coded", F.size("s").alias("n"), F.slice("s", 1, SKETCH).alias("k")), "lines")
+    every, classes = classes, scratch.write(classes.join(shared.select("id").distinct(), "id", "left_semi"), "classes")
+    scratch.drop(every)
+    wanted = own.join(classes.select("id", "h1", "h2"), ["h1", "h2"]).groupBy("id").agg(F.min(F.struct("__row", "pos")).alias("at")).select("id", "at.__row", "at.pos")
+    wanted = scratch.write(wanted, "wanted")
+    lines = _texts(docs, wanted).select("id", "coded", F.sort_array(_set("coded")).alias("s"))
+    # half of each hash tells it from the others of two sketches
+    lines = scratch.write(lines.select("id", "coded", F.size("s").alias("n"), F.expr(f"transform(slice(s, 1, {SKETCH}), x -> cast((x & {WORD}) - 2147483648 as int))").alias("k")), "lines")
+    scratch.drop(wanted)
     comp = link(shared, _verifier(lines, scratch, threshold), _large(classes, lines, scratch, threshold), scratch)
     near = outer.write(classes.select("id", "h1", "h2").join(comp, "id").select("h1", "h2", "comp"), "near")
     scratch.close()

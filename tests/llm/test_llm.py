@@ -559,3 +559,46 @@ def test_unrelated_lines_of_a_large_bucket_are_not_compared_in_slabs(spark, monk
     got = line_dedup.line_groups(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"), scratch(spark)).collect()
     assert sorted((r.keep_doc) for r in got) == sorted(2 * list(range(300, 320)))
     assert sum(slabs) == 0
+
+
+def test_line_texts_are_read_without_shuffling_the_rest(spark, monkeypatch):
+    """Wanted lines come back whole where the bit map is full, coarse or has many rows, and texts beyond them are not shuffled."""
+    texts = [(i, "\n".join(f" Line {i} {j}" for j in range(i % 7))) for i in range(300)] + [(300, None), (301, "")]
+    docs = spark.createDataFrame(texts, "__row long, text string")
+    places = [(10 * i + j, i, j) for i in range(0, 300, 9) for j in range(i % 7)]
+    wanted = scratch(spark).write(spark.createDataFrame(places, "id long, __row long, pos int"))
+    monkeypatch.setattr(components, "SMALL_BYTES", 0)
+    for bits, chunk in ((16, 1024), (16, 1), (1, 1)):
+        monkeypatch.setattr(line_dedup, "PLACE_BITS", bits)
+        monkeypatch.setattr(line_dedup, "CHUNK", chunk)
+        got = line_dedup._texts(docs, wanted)
+        assert {(r.id, bytes(r.coded).decode("UTF-16BE")) for r in got.collect()} == {(k, f"line {i} {j}") for k, i, j in places}
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert all("text#" not in line for line in plan.split("\n") if "Join" in line) and plan.index("Join") < plan.index("Generate") < plan.index("text#")
+    assert line_dedup._texts(docs, wanted.limit(0)).count() == 0
+
+
+def test_splitting_a_large_bucket_makes_no_row_for_a_hash_that_many_share(spark, monkeypatch):
+    """One bucket of several groups of near copies, each larger than ``MIDDLE``: a written row a membership at most, and the components of brute force."""
+    r, base = random.Random(21), words(22, 60).split()
+    docs = [" ".join(w if r.random() > 0.03 else f"w{r.randrange(9)}" for w in base) for _ in range(60)]
+    monkeypatch.setattr(line_dedup, "_keys", lambda: F.array(F.lit(1).cast("long")))
+    monkeypatch.setattr(line_dedup, "MIDDLE", 8)
+    monkeypatch.setattr(line_dedup, "SLAB", 8)
+    monkeypatch.setattr(components, "SWEEPS", 0)
+    counts, write = {}, Scratch.write
+
+    def counted(self, df, name="t"):
+        back = write(self, df, name)
+        counts[name] = max(counts.get(name, 0), back.count())
+        return back
+
+    monkeypatch.setattr(Scratch, "write", counted)
+    got = line_dedup.line_groups(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"), scratch(spark)).collect()
+    sets = [{t[k : k + 9] for k in range(len(t) - 8)} for t in docs]
+    group = list(range(60))
+    while (new := [min(group[j] for j in range(60) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])) for i in range(60)]) != group:
+        group = new
+    sizes = collections.Counter(group[docs.index(t)] for t in set(docs))
+    assert collections.Counter(x.keep_doc for x in got) == {k: n for k, n in sizes.items() if n > 1}
+    assert counts["held"] > line_dedup.MIDDLE and max(counts["rare"], counts.get("inner", 0)) <= counts["held"]
