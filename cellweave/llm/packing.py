@@ -21,6 +21,7 @@ An empty table gives no rows.  Extra columns are ignored.
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -41,11 +42,26 @@ CACHE = 500_000
 ROWS = 100_000
 
 
+#: Letters that are their own NFC form and have one lower-case form, of the same range; and the marks of ASCII but the apostrophe, which may join to letters.
+LATIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+").fullmatch
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Letters beyond ASCII as the tokenizer's byte level writes their UTF-8 bytes: C3 as itself, 80 to A0 from U+0122 on, AD as U+0143, others as themselves.
+BYTES = {c: "\u00c3" + chr(0x122 + b - 0x80 if b <= 0xA0 else 0x143 if b == 0xAD else b) for c in range(0xC0, 0x100) for b in [0x80 + (c & 0x3F)]}
+
+
+_PACK = [struct.Struct(f"<{n}I").pack for n in range(64)]
+
+
+def packed(ids: list[int]) -> bytes:
+    return _PACK[len(ids)](*ids) if len(ids) < 64 else struct.pack(f"<{len(ids)}I", *ids)
+
+
 class WordTokens(dict):
     """Token ids of white-space-separated words as little-endian bytes, from a public tokenizer file.
 
     The tokenizer drops white space and never joins across it, so a text's ids are those of its words in
-    order.  The cache is bounded: when full, further words are encoded anew each time.
+    order.  The cache is bounded: when full, further words are encoded anew each time.  A run of Latin letters is one
+    pre-token and the marks after it another; both are given to the model as they are, other words to the whole tokenizer.
     """
 
     def __init__(self, path: str):
@@ -60,14 +76,13 @@ class WordTokens(dict):
         self[""] = b""
 
     def __missing__(self, word: str) -> bytes:
-        if word.isalpha() and word.isascii():  # one pre-token, normalised by lower case alone
-            ids = [t.id for t in self.model.tokenize(word.lower())]
-            out = struct.pack(f"<{len(ids)}I", *ids)
-        elif word[-1] in ",." and word[:-1].isalpha():  # a letter run, then one mark: two pre-tokens
-            out = self[word[:-1]] + self[word[-1]]
+        if word.isalpha() and (word.isascii() or LATIN(word)):  # one pre-token
+            low = word.lower()
+            out = packed([t.id for t in self.model.tokenize(low if low.isascii() else low.translate(BYTES))])
+        elif (letters := word.rstrip(MARKS)) != word and letters.isalpha():  # letters, then a run of marks: two pre-tokens
+            return self[letters] + self[word[len(letters) :]]  # not kept, as its two parts are
         else:
-            ids = self.whole.encode(word, add_special_tokens=False).ids
-            out = struct.pack(f"<{len(ids)}I", *ids)
+            out = packed(self.whole.encode(word, add_special_tokens=False).ids)
         if len(self) < CACHE and len(word) <= 64:
             self[word] = out
         return out
