@@ -9,9 +9,10 @@ near its equals only).  Two lines are near when the Jaccard similarity of their
    multiply-shift hashes of that.  The values are the points of the affine plane of nine points and the bands its twelve
    lines: any five matching values hold a line, so a pair of similarity 0.8 meets with probability 0.990, one of 0.85
    with 0.997.  (Twelve disjoint bands of three would need 36 values.)
-3. ``components.link`` tests candidates on their whole shingle sets and unites them.  Set sizes and the least hashes of each
-   set leave out pairs that are surely not near (wrongly one in a million).  A large bucket is first split by the rarest of
-   those hashes.  The members that this does not part are held as differences from the bucket's first line, so two of them
+3. ``components.link`` tests candidates on their whole shingle sets and unites them.  Each line has a mark, a bit map in which every
+   shingle sets one bit: bits that two marks do not share bound the shingles that the sets do not, so it leaves out only pairs
+   that are not near.  A large bucket is first split by the rarest of the least hashes of each set (which misses one pair in a
+   million).  The members that this does not part are held as differences from the bucket's first line, so two of them
    are compared exactly by their few differing shingles.
 4. Of each component, the line first in (doc_id, row, position) stays; blank lines always stay.
 
@@ -44,6 +45,8 @@ ROUND = 512 << 20
 MIDDLE = 32
 #: Least hashes kept of each set, and how many must agree: at 0.8 fewer do with a chance of a millionth.
 SKETCH, AGREE = 24, 12
+#: Shingles that one row signs, and bits of a line's mark.
+STRIDE, MARK = 4, 1024
 #: Bits of the map of wanted lines for each of them, and 64-bit words of one of its rows.
 PLACE_BITS, CHUNK = 16, 1024
 #: Odd multipliers, one a hash function.
@@ -58,7 +61,9 @@ def lines_of(docs: DataFrame) -> DataFrame:
 
 
 def _trim(line: str) -> Column:
-    return F.expr(f"trim(both ' \\t\\r' from {line})")
+    # trimming looks at every character, and few lines need it
+    ends = " or ".join(f"startswith({line}, '{c}') or endswith({line}, '{c}')" for c in (" ", "\\t", "\\r"))
+    return F.expr(f"if({ends}, trim(both ' \\t\\r' from {line}), {line})")
 
 
 def _hashes() -> list[Column]:
@@ -69,12 +74,19 @@ def signed(docs: DataFrame) -> DataFrame:
     """``(h1, h2, m0, m1, ...)``, a row for each distinct line of ``Q`` characters or more.
 
     Shingles are cut from two-byte characters, so each is a slice of bytes.  The minima are grouped by the line's hash, so
-    one hash aggregation (merged map-side) yields both the classes and their signatures.
+    one hash aggregation (merged map-side) yields both the classes and their signatures.  A row has ``STRIDE`` shingles, the last
+    of a line repeats its last one; the aggregation is looked up once for all of them.
     """
     coded = lines_of(docs).select(*_hashes(), F.encode("line", "UTF-16BE").alias("c")).where(f"octet_length(c) >= {2 * Q}")
-    cut = coded.select("h1", "h2", "c", F.explode(F.expr(f"sequence(1, octet_length(c) - {2 * Q - 1}, 2)")).alias("i"))
-    hashed = cut.select("h1", "h2", F.expr(f"xxhash64(substring(c, i, {2 * Q})) & 2147483647").alias("x"))
-    return hashed.groupBy("h1", "h2").agg(*[F.min((F.col("x") * F.lit(a)).bitwiseAND(F.lit(WORD))).alias(f"m{i}") for i, a in enumerate(FACTORS)])
+    last = f"octet_length(c) - {2 * Q - 1}"
+    cut = coded.select("h1", "h2", "c", F.expr(last).alias("last"), F.explode(F.expr(f"sequence(1, {last}, {2 * STRIDE})")).alias("i"))
+    hashed = cut.select("h1", "h2", *[F.expr(f"xxhash64(substring(c, least(i + {2 * j}, last), {2 * Q})) & 2147483647").alias(f"x{j}") for j in range(STRIDE)])
+
+    def least(a: int) -> Column:
+        values = [(F.col(f"x{j}") * F.lit(a)).bitwiseAND(F.lit(WORD)) for j in range(STRIDE)]
+        return F.least(*values) if STRIDE > 1 else values[0]
+
+    return hashed.groupBy("h1", "h2").agg(*[F.min(least(a)).alias(f"m{i}") for i, a in enumerate(FACTORS)])
 
 
 def _keys() -> Column:
@@ -93,6 +105,24 @@ def _set(coded: str) -> Column:
     return F.expr(f"array_distinct(transform(array({coded}), c -> transform(sequence(1, octet_length(c) - {2 * Q - 1}, 2), i -> xxhash64(substring(c, i, {2 * Q}))))[0])")
 
 
+def _marks(lines: DataFrame) -> DataFrame:
+    """``(id, n, w0, w1, ...)`` of ``lines(id, coded)``: the number of shingles, repeated ones too, and the words of the mark."""
+    cut = lines.select("id", F.expr(f"octet_length(coded) div 2 - {Q - 1}").alias("n"), "coded", F.explode(F.expr(f"sequence(1, octet_length(coded) - {2 * Q - 1}, 2)")).alias("i"))
+    hashed = cut.select("id", "n", F.expr(f"xxhash64(substring(coded, i, {2 * Q}))").alias("x"))
+    placed = hashed.select("id", "n", F.expr(f"cast(shiftright(x, 6) & {MARK // 64 - 1} as int)").alias("at"), F.expr("shiftleft(1L, cast(x & 63 as int))").alias("bit"))
+    return placed.groupBy("id", "n").agg(*[F.expr(f"bit_or(if(at = {j}, bit, 0L))").alias(f"w{j}") for j in range(MARK // 64)])
+
+
+def _may(a: str, b: str, threshold: float) -> str:
+    """Whether the lines of two marks may be near, with the fields of a mark written into ``a`` and ``b``.
+
+    A bit that one mark has alone is that of a shingle which one set has alone, and near sets differ in ``(1 - t) / (1 + t)`` of the
+    sum of their sizes at most.  So no near pair is left out.
+    """
+    apart = " + ".join(f"bit_count({a.format(f'w{j}')} ^ {b.format(f'w{j}')})" for j in range(MARK // 64))
+    return f"{apart} <= {(1 - threshold) / (1 + threshold)} * ({a.format('n')} + {b.format('n')}) + 1e-9"
+
+
 def _bits(places: DataFrame, n: int) -> tuple[DataFrame, Column]:
     """A bit map of ``n`` places ``(__row, pos)`` as broadcast ``(chunk, words)``, and the bit of a place in it.
 
@@ -117,27 +147,27 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return found.select("id", F.encode(_trim("line"), "UTF-16BE").alias("coded"))
 
 
-def _verifier(lines: DataFrame, scratch: Scratch, threshold: float):
-    """Pairs whose shingle sets are near; ``lines(id, coded, n, k)`` holds the candidates, the sizes of their sets and the least shingle hashes."""
+def _verifier(lines: DataFrame, marks: DataFrame, scratch: Scratch, threshold: float):
+    """Pairs whose shingle sets are near; ``lines(id, coded)`` holds the candidates and ``marks`` their marks."""
 
     def verify(pairs: DataFrame) -> DataFrame:
-        sized = lines.select("id", "n", "k")
-        fit = pairs.join(sized.toDF("a", "n_a", "k_a"), "a").join(sized.toDF("b", "n_b", "k_b"), "b")
-        # only sketches travel until a pair may pass
-        likely = f"least(n_a, n_b) >= {threshold} * greatest(n_a, n_b) - 1e-9 and size(array_intersect(k_a, k_b)) >= least({AGREE}, size(k_a) div 2)"
-        fit = scratch.write(fit.where(likely).select("a", "b", "n_a", "n_b"), "pairs")
-        used = only_used(lines.select("id", "coded"), fit)
+        one, other = ([F.col(c).alias(f"{c}_{e}" if c != "id" else e) for c in marks.columns] for e in "ab")
+        # only marks travel until a pair may pass
+        fit = pairs.join(marks.select(*one), "a").join(marks.select(*other), "b")
+        fit = scratch.write(fit.where(_may("{}_a", "{}_b", threshold)).select("a", "b"), "pairs")
+        used = only_used(lines, fit)
         # whole lines travel, about a tenth of their sets; the sets are made where both lines are
         both = fit.join(used.toDF("a", "l_a"), "a").join(used.toDF("b", "l_b"), "b")
-        sets = both.select("a", "b", "n_a", "n_b", _set("l_a").alias("s_a"), _set("l_b").alias("s_b"))
+        sets = both.select("a", "b", _set("l_a").alias("s_a"), _set("l_b").alias("s_b"))
         # a generator, as a filter would be pushed down and make the sets once more
-        near = f"filter(array(struct(a, b, size(array_intersect(s_a, s_b)) as common)), x -> x.common >= {threshold} * (n_a + n_b - x.common) - 1e-9)"
+        near = f"""filter(array(struct(a, b, size(array_intersect(s_a, s_b)) as common, size(s_a) + size(s_b) as n)),
+            x -> x.common >= {threshold} * (x.n - x.common) - 1e-9)"""
         return sets.select(F.inline(F.expr(near))).select("a", "b")
 
     return verify
 
 
-def _large(classes: DataFrame, lines: DataFrame, scratch: Scratch, threshold: float):
+def _large(classes: DataFrame, lines: DataFrame, marks: DataFrame, scratch: Scratch, threshold: float):
     """Links of large buckets for ``components.link``, compared inside the row of a pair of slabs.
 
     With B the set of the bucket's first line, a member is held as ``minus`` (B without it) and ``plus`` (it without B):
@@ -146,13 +176,11 @@ def _large(classes: DataFrame, lines: DataFrame, scratch: Scratch, threshold: fl
     """
 
     def middle(left: DataFrame) -> DataFrame:
-        """Buckets of up to ``MIDDLE`` members: pairs of members that may be near, by size and sketch."""
-        sized = left.join(lines.select("id", "n", "k"), "id")
-        held = sized.groupBy("key").agg(F.collect_list(F.struct("id", "comp", "n", "k")).alias("x"))
-        likely = f"""filter(x, q -> p.comp <> q.comp and p.id < q.id and least(p.n, q.n) >= {threshold} * greatest(p.n, q.n) - 1e-9
-            and size(array_intersect(p.k, q.k)) >= least({AGREE}, size(p.k) div 2))"""
+        """Buckets of up to ``MIDDLE`` members: pairs of members that may be near, by their marks."""
+        held = left.join(marks, "id").groupBy("key").agg(F.collect_list(F.struct("id", "comp", *marks.columns[1:])).alias("x"))
+        likely = f"filter(x, q -> p.comp <> q.comp and p.id < q.id and {_may('p.{}', 'q.{}', threshold)})"
         pairs = F.expr(f"flatten(transform(x, p -> transform({likely}, q -> named_struct('a', p.id, 'b', q.id))))")
-        return _verifier(lines, scratch, threshold)(held.select(F.inline(pairs)).distinct())
+        return _verifier(lines, marks, scratch, threshold)(held.select(F.inline(pairs)).distinct())
 
     def split(left: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Large buckets -> memberships of small buckets inside them, and those members for which that is not enough.
@@ -162,7 +190,10 @@ def _large(classes: DataFrame, lines: DataFrame, scratch: Scratch, threshold: fl
         that share one of those form a small bucket.  A hash that more than ``MIDDLE`` members of the bucket have makes no rows:
         who would meet others by it stays in the large bucket.
         """
-        held = scratch.write(left.join(narrow(lines.select("id", "n", "k"), left.select("id").distinct(), ["id"], 16), "id").select("key", "id", "comp", "parts", "n", "k"), "held")
+        sets = narrow(lines, left.select("id").distinct(), ["id"], 16).select("id", F.sort_array(_set("coded")).alias("s"))
+        # half of each hash tells it from the others of two sketches
+        sketches = scratch.write(sets.select("id", F.size("s").alias("n"), F.expr(f"transform(slice(s, 1, {SKETCH}), x -> cast((x & {WORD}) - 2147483648 as int))").alias("k")), "sketches")
+        held = scratch.write(left.join(sketches, "id").select("key", "id", "comp", "parts", "n", "k"), "held")
         often = held.select("key", "comp", F.explode("k").alias("x")).groupBy("key", "x").agg(F.count("*").alias("c"), F.min("comp").alias("low"), F.max("comp").alias("high"))
         often = scratch.write(often.where("c > 1").select("key", "x", "c", F.expr("low < high").alias("mixed")), "often")
         met = held.select("key", "id", "comp", "parts", "n", F.size("k").alias("m"), F.explode("k").alias("x")).join(often, ["key", "x"], "left")
@@ -188,7 +219,7 @@ def _large(classes: DataFrame, lines: DataFrame, scratch: Scratch, threshold: fl
 
     def hot(left: DataFrame) -> DataFrame:
         ids = scratch.write(left.select("id").distinct(), "ids")
-        whole = narrow(lines.select("id", "coded"), ids, ["id"]).join(narrow(classes, ids, ["id"]).select("id", _keys().alias("keys")), "id")
+        whole = narrow(lines, ids, ["id"]).join(narrow(classes, ids, ["id"]).select("id", _keys().alias("keys")), "id")
         whole = scratch.write(whole, "whole")
         heads = left.groupBy("key").agg(F.min("id").alias("head"))
         heads = heads.join(whole.select(F.col("id").alias("head"), F.col("coded").alias("base")), "head").select("key", "base")
@@ -238,11 +269,10 @@ def _groups(docs: DataFrame, own: DataFrame, scratch: Scratch, threshold: float)
     scratch.drop(every)
     wanted = own.join(classes.select("id", "h1", "h2"), ["h1", "h2"]).groupBy("id").agg(F.min(F.struct("__row", "pos")).alias("at")).select("id", "at.__row", "at.pos")
     wanted = scratch.write(wanted, "wanted")
-    lines = _texts(docs, wanted).select("id", "coded", F.sort_array(_set("coded")).alias("s"))
-    # half of each hash tells it from the others of two sketches
-    lines = scratch.write(lines.select("id", "coded", F.size("s").alias("n"), F.expr(f"transform(slice(s, 1, {SKETCH}), x -> cast((x & {WORD}) - 2147483648 as int))").alias("k")), "lines")
+    lines = scratch.write(_texts(docs, wanted), "lines")
     scratch.drop(wanted)
-    comp = link(shared, _verifier(lines, scratch, threshold), _large(classes, lines, scratch, threshold), scratch)
+    marks = scratch.write(_marks(lines), "marks")
+    comp = link(shared, _verifier(lines, marks, scratch, threshold), _large(classes, lines, marks, scratch, threshold), scratch)
     near = outer.write(classes.select("id", "h1", "h2").join(comp, "id").select("h1", "h2", "comp"), "near")
     scratch.close()
     return near

@@ -621,3 +621,48 @@ def test_words_are_encoded_as_the_whole_tokenizer_does(monkeypatch):
         alone[m] = enc[m]
     alone.whole = None
     assert [alone[w] for w in fast] == [enc[w] for w in fast]
+
+
+def test_a_row_signs_several_shingles(spark, monkeypatch):
+    """Rows of several shingles give the minima that one row a shingle gives, for any length of a line, and are fewer."""
+    texts = [(i, "\n".join([words(i, 3 + i), words(i, 9)[: 9 + i], " \t" + words(7, 12) + "\r"])) for i in range(12)] + [(12, None)]
+    docs = spark.createDataFrame(texts, "__row long, text string")
+    got = {tuple(r) for r in line_dedup.signed(docs).collect()}
+    plan = line_dedup.signed(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert f"Some({2 * line_dedup.STRIDE})" in plan and line_dedup.STRIDE > 1
+    monkeypatch.setattr(line_dedup, "STRIDE", 1)
+    assert {tuple(r) for r in line_dedup.signed(docs).collect()} == got and len(got) > 20
+
+
+def test_marks_leave_out_only_pairs_that_are_not_near(spark):
+    """Near pairs, with repeated shingles and long lines too, pass by their marks; lines of a similarity of 0.65 or less do not."""
+    r, base = random.Random(31), words(32, 60)
+    lines = [base[:k] + "#" + base[k + 1 :] for k in (3, 90, 200)] + ["ab" * n for n in (10, 60, 300)] + ["=" * n for n in (9, 80)]
+    lines += [words(33, 900), words(33, 900) + " xyz"] + [" ".join(w if r.random() > p else f"w{r.randrange(99)}" for w in base.split()) for p in (0.01, 0.03, 0.1, 0.2) for _ in range(4)]
+    sets = [{t[k : k + 9] for k in range(len(t) - 8)} for t in lines]
+    marks = line_dedup._marks(spark.createDataFrame(list(enumerate(lines)), "id long, t string").select("id", F.encode("t", "UTF-16BE").alias("coded")))
+    pairs = marks.alias("a").join(marks.alias("b"), F.expr("a.id < b.id")).where(line_dedup._may("a.{}", "b.{}", 0.8))
+    passed = {tuple(x) for x in pairs.select("a.id", "b.id").collect()}
+    like = {(i, j): len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for j in range(len(lines)) for i in range(j)}
+    near = {p for p, s in like.items() if s >= 0.8}
+    assert len(near) > 8 and near <= passed
+    assert not [p for p in passed if like[p] <= 0.65 and {3, 4, 5, 6, 7, 8, 9}.isdisjoint(p)]
+
+
+def test_sets_are_made_only_for_pairs_whose_marks_allow_it(spark, monkeypatch):
+    """One bucket of lines that are alike but not near: no pair of them is compared by its sets."""
+    base = words(41, 40).split()
+    docs = [" ".join(w if k % 7 else f"x{i}y{k}" for k, w in enumerate(base)) for i in range(24)] + [words(42, 40), words(42, 40) + " zz"]
+    sets = [{t[k : k + 9] for k in range(len(t) - 8)} for t in docs]
+    assert 0.25 < len(sets[0] & sets[1]) / len(sets[0] | sets[1]) < 0.7
+    monkeypatch.setattr(line_dedup, "_keys", lambda: F.array(F.lit(1).cast("long")))
+    made, write = [], Scratch.write
+
+    def counted(self, df, name="t"):
+        back = write(self, df, name)
+        made.extend([back.count()] if name == "pairs" else [])
+        return back
+
+    monkeypatch.setattr(Scratch, "write", counted)
+    got = line_dedup.line_groups(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"), scratch(spark)).collect()
+    assert [x.keep_doc for x in got] == [24, 24] and made and sum(made) <= 1
