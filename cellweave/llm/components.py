@@ -90,14 +90,24 @@ def share(members: Callable[[DataFrame], DataFrame], rows: DataFrame, scratch: S
     drawn = members(rows.where(F.pmod(F.xxhash64("id", F.lit(7)), F.lit(DRAWN)) == 0))
     hot = drawn.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= HOT)
     hot = scratch.write(hot.select("key", F.greatest(F.lit(2), F.ceil(F.col("n") * DRAWN / PART)).cast("int").alias("parts")), "hot")
-    every = members(rows).select("key", "id")
-    if not hot.limit(1).count():
-        placed = every.withColumns({"parts": F.lit(1), "top": F.lit(None).cast("long")})
-    else:
+    every, by = members(rows).select("key", "id"), ["key"]
+    heads = None
+    if hot.limit(1).count():
         heads = scratch.write(every.join(small(hot, 48), "key").groupBy("key").agg(F.first("parts").alias("parts"), F.min("id").alias("top")), "heads")
-        placed = every.join(small(heads, 56), "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    placed = placed.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    by_key = Window.partitionBy("key", "part").orderBy("id")
+        # part 0 is a bucket that is not dealt out
+        part = F.coalesce(F.pmod(F.xxhash64("id"), F.col("parts")).cast("int") + 1, F.lit(0))
+        every, by = every.join(small(heads, 56).select("key", "parts"), "key", "left").select("key", "id", part.alias("part")), ["key", "part"]
+    # most ids are alone in their bucket: they go before anything is sorted, by an aggregation of the rows that are shuffled once for it and for the join
+    every = every.repartition(*by)
+    met = every.groupBy(*by).agg(F.min("id").alias("low"), F.max("id").alias("high"))
+    met = met.where("low < high or part > 0" if heads is not None else "low < high").select(*by)
+    # not a semi join, which would be pushed below the shuffle
+    placed = every.join(met.hint("shuffle_hash"), by)
+    if heads is not None:
+        placed = placed.join(small(heads, 56), "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    else:
+        placed = placed.withColumns({"parts": F.lit(1), "top": F.lit(None).cast("long")})
+    by_key = Window.partitionBy(*by).orderBy("id")
     ranked = placed.select("key", "id", "parts", "top", F.lag("id").over(by_key).alias("prev"), F.lead("id").over(by_key).alias("next"), F.first("id").over(by_key).alias("first"))
     kept = ranked.where("prev is not null or next is not null or (parts > 1 and id <> top)")
     return scratch.write(kept.select("key", "id", "prev", F.coalesce("top", "first").alias("head"), "parts"), "shared")

@@ -5,15 +5,17 @@ without outer white space.  Its set is that of its character shingles (``Q`` UTF
 near its equals only).  Two lines are near when the Jaccard similarity of their sets is ``threshold`` or more.
 
 1. Equal lines form one class by a 128-bit hash; only hashes and positions are shuffled.
-2. Each class has ``VALUES`` MinHash values over all its shingles.  A shingle is hashed to 64 bits; the values are minima of
-   multiply-shift hashes of that.  The values are the points of the affine plane of nine points and the bands its twelve
-   lines: any five matching values hold a line, so a pair of similarity 0.8 meets with probability 0.990, one of 0.85
-   with 0.997.  (Twelve disjoint bands of three would need 36 values.)
+2. Each class has ``VALUES`` MinHash values over all its shingles.  A shingle is hashed to 31 bits; value i is the hash of the set that is
+   nearest to a constant c_i when they are compared by exclusive or, so that the set's shingles are equally likely.  The values are the
+   points of the affine plane of nine points and the bands its twelve lines: any five matching values hold a line, so a pair of
+   similarity 0.8 meets with probability 0.990, one of 0.85 with 0.997.  (Twelve disjoint bands of three would need 36 values.)
+   A pair is a candidate if ``ENOUGH`` values match, one more than a band (0.0004 of the pairs at 0.8 have no more).  Texts are
+   read only for members of a bucket that are alike to another one, and for those of large buckets.
 3. ``components.link`` tests candidates on their whole shingle sets and unites them.  Each line has a mark, a bit map in which every
    shingle sets one bit: bits that two marks do not share bound the shingles that the sets do not, so it leaves out only pairs
-   that are not near.  A large bucket is first split by the rarest of the least hashes of each set (which misses one pair in a
-   million).  The members that this does not part are held as differences from the bucket's first line, so two of them
-   are compared exactly by their few differing shingles.
+   that are not near.  Pairs that differ in one short stretch are near by the lengths of what they have in common at both ends;
+   sets are made for the others only.  A large bucket is first split by the rarest values of its members.  The members that this does not part are
+   held as differences from the bucket's first line, so two of them are compared exactly by their few differing shingles.
 4. Of each component, the line first in (doc_id, row, position) stays; blank lines always stay.
 
 Nulls: a null text has no lines and stays null; a null doc_id comes last.  Rows that repeat a doc_id, or have
@@ -33,7 +35,8 @@ from cellweave.llm.components import SMALL_BYTES, link, narrow, only_used, share
 from cellweave.storage import Scratch
 
 Q = 9
-VALUES = 9
+#: MinHash values of a line, and how many of them match in candidates.
+VALUES, ENOUGH = 9, 4
 #: The twelve lines of the affine plane over three elements, as points 3 x + y.
 BANDS = [(3 * x, 3 * x + 1, 3 * x + 2) for x in range(3)] + [tuple(3 * x + (a * x + b) % 3 for x in range(3)) for a in range(3) for b in range(3)]
 THRESHOLD = 0.8
@@ -43,15 +46,14 @@ SLAB, SHINGLES = 256, 512
 ROUND = 512 << 20
 #: Members of a bucket whose likely pairs may leave it as rows.
 MIDDLE = 32
-#: Least hashes kept of each set, and how many must agree: at 0.8 fewer do with a chance of a millionth.
-SKETCH, AGREE = 24, 12
 #: Shingles that one row signs, and bits of a line's mark.
-STRIDE, MARK = 4, 1024
+STRIDE, MARK = 8, 1024
 #: Bits of the map of wanted lines for each of them, and 64-bit words of one of its rows.
 PLACE_BITS, CHUNK = 16, 1024
-#: Odd multipliers, one a hash function.
-FACTORS = [(i * 0x9E3779B1) % (1 << 31) | 1 for i in range(1, VALUES + 1)]
-WORD = (1 << 32) - 1
+#: Constants that lie far apart, one a MinHash value.
+POINTS = [(i * 0x9E3779B1) % (1 << 31) for i in range(1, VALUES + 1)]
+#: Values are compared by 15 bits, four in a long; the two masks hold the lower 14 bits of each and the last one.
+LANE, LOWER, UPPER = 15, sum(0x3FFF << 15 * k for k in range(4)), sum(0x4000 << 15 * k for k in range(4))
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -82,11 +84,34 @@ def signed(docs: DataFrame) -> DataFrame:
     cut = coded.select("h1", "h2", "c", F.expr(last).alias("last"), F.explode(F.expr(f"sequence(1, {last}, {2 * STRIDE})")).alias("i"))
     hashed = cut.select("h1", "h2", *[F.expr(f"xxhash64(substring(c, least(i + {2 * j}, last), {2 * Q})) & 2147483647").alias(f"x{j}") for j in range(STRIDE)])
 
-    def least(a: int) -> Column:
-        values = [(F.col(f"x{j}") * F.lit(a)).bitwiseAND(F.lit(WORD)) for j in range(STRIDE)]
+    def least(c: int) -> Column:
+        values = [F.col(f"x{j}").bitwiseXOR(F.lit(c).cast("long")) for j in range(STRIDE)]
         return F.least(*values) if STRIDE > 1 else values[0]
 
-    return hashed.groupBy("h1", "h2").agg(*[F.min(least(a)).alias(f"m{i}") for i, a in enumerate(FACTORS)])
+    return hashed.groupBy("h1", "h2").agg(*[F.min(least(c)).alias(f"m{i}") for i, c in enumerate(POINTS)])
+
+
+def _lanes() -> list[Column]:
+    """``s0, s1, ...``: the signature, ``LANE`` bits of each value."""
+    return [F.expr(" | ".join(f"shiftleft(m{i + k} & {(1 << LANE) - 1}, {LANE * k})" for k in range(4) if i + k < VALUES)).alias(f"s{i // 4}") for i in range(0, VALUES, 4)]
+
+
+def _alike(a: str, b: str) -> str:
+    """Whether ``ENOUGH`` values of two lines match, with the fields of a signature written into ``a`` and ``b``; by chance in 15 bits a few more do."""
+    differ = [f"({a.format(f's{i}')} ^ {b.format(f's{i}')})" for i in range(-(-VALUES // 4))]
+    return " + ".join(f"bit_count(((({d} & {LOWER}L) + {LOWER}L) | {d}) & {UPPER}L)" for d in differ) + f" <= {VALUES - ENOUGH}"
+
+
+def _pruned(shared: DataFrame, classes: DataFrame, scratch: Scratch) -> DataFrame:
+    """Written ``shared`` without the members of buckets of up to ``MIDDLE`` that are alike to no other member of theirs."""
+    large = shared.groupBy("key").agg(F.count("*").alias("n"), F.max("parts").alias("most")).where(f"n > {MIDDLE} or most > 1").select("key")
+    large = small(scratch.write(large, "many"), 24)
+    held = shared.join(large, "key", "left_anti").join(classes.select("id", *_lanes()), "id")
+    held = held.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("id", *[f"s{i}" for i in range(-(-VALUES // 4))]))).alias("x"))
+    alike = F.expr(f"transform(filter(x, p -> exists(x, q -> p.id <> q.id and {_alike('p.{}', 'q.{}')})), p -> p.id)")
+    told = held.select("key", alike.alias("y")).where("size(y) > 0")
+    few = told.select("key", F.inline(F.expr("transform(y, (p, i) -> named_struct('id', p, 'prev', if(i > 0, y[greatest(i - 1, 0)], null), 'head', y[0]))")))
+    return scratch.write(few.withColumn("parts", F.lit(1)).union(shared.join(large, "key", "left_semi").select("key", "id", "prev", "head", "parts")), "shared")
 
 
 def _keys() -> Column:
@@ -107,10 +132,11 @@ def _set(coded: str) -> Column:
 
 def _marks(lines: DataFrame) -> DataFrame:
     """``(id, n, w0, w1, ...)`` of ``lines(id, coded)``: the number of shingles, repeated ones too, and the words of the mark."""
-    cut = lines.select("id", F.expr(f"octet_length(coded) div 2 - {Q - 1}").alias("n"), "coded", F.explode(F.expr(f"sequence(1, octet_length(coded) - {2 * Q - 1}, 2)")).alias("i"))
-    hashed = cut.select("id", "n", F.expr(f"xxhash64(substring(coded, i, {2 * Q}))").alias("x"))
-    placed = hashed.select("id", "n", F.expr(f"cast(shiftright(x, 6) & {MARK // 64 - 1} as int)").alias("at"), F.expr("shiftleft(1L, cast(x & 63 as int))").alias("bit"))
-    return placed.groupBy("id", "n").agg(*[F.expr(f"bit_or(if(at = {j}, bit, 0L))").alias(f"w{j}") for j in range(MARK // 64)])
+    last = f"octet_length(coded) - {2 * Q - 1}"
+    cut = lines.select("id", F.expr(f"octet_length(coded) div 2 - {Q - 1}").alias("n"), "coded", F.expr(last).alias("last"), F.explode(F.expr(f"sequence(1, {last}, {2 * STRIDE})")).alias("i"))
+    hashed = cut.select("id", "n", *[F.expr(f"xxhash64(substring(coded, least(i + {2 * j}, last), {2 * Q}))").alias(f"x{j}") for j in range(STRIDE)])
+    placed = hashed.select("id", "n", *[F.expr(e).alias(f"{c}{j}") for j in range(STRIDE) for c, e in (("at", f"cast(shiftright(x{j}, 6) & {MARK // 64 - 1} as int)"), ("bit", f"shiftleft(1L, cast(x{j} & 63 as int))"))])
+    return placed.groupBy("id", "n").agg(*[F.expr("bit_or(" + " | ".join(f"if(at{j} = {w}, bit{j}, 0L)" for j in range(STRIDE)) + ")").alias(f"w{w}") for w in range(MARK // 64)])
 
 
 def _may(a: str, b: str, threshold: float) -> str:
@@ -123,6 +149,24 @@ def _may(a: str, b: str, threshold: float) -> str:
     return f"{apart} <= {(1 - threshold) / (1 + threshold)} * ({a.format('n')} + {b.format('n')}) + 1e-9"
 
 
+def _sure(a: str, b: str, low_a: str, low_b: str, threshold: float) -> str:
+    """Whether two coded lines are surely near, as they differ in one short stretch; ``low_a``, ``low_b``: least numbers of their distinct shingles.
+
+    Shingles inside the common start or end are in both sets, so each set has at most as many others as it has positions outside.
+    The lengths are found by halving, up to 131071 characters; a shorter one than the true only proves less.
+    """
+    steps = f"array({', '.join(str(1 << k) for k in range(16, -1, -1))})"
+    start = f"aggregate({steps}, 0, (p, k) -> if(p + k <= most and substring({a}, 2 * p + 1, 2 * k) = substring({b}, 2 * p + 1, 2 * k), p + k, p))"
+    end = f"""aggregate({steps}, 0, (p, k) -> if(start + p + k <= most
+        and substring({a}, octet_length({a}) - 2 * (p + k) + 1, 2 * k) = substring({b}, octet_length({b}) - 2 * (p + k) + 1, 2 * k), p + k, p))"""
+    apart = [f"octet_length({x}) div 2 - {Q - 1} - greatest(start - {Q - 1}, 0) - greatest(end - {Q - 1}, 0)" for x in (a, b)]
+    sure = f"x + y <= {1 / threshold - 1} * greatest({low_a} - x, {low_b} - y) - 1e-9"
+    # variables of outer functions, each bound to a value once
+    for name, value in (("y", apart[1]), ("x", apart[0]), ("end", end), ("start", start), ("most", f"cast(least(octet_length({a}), octet_length({b})) div 2 as int)")):
+        sure = f"transform(array({value}), {name} -> {sure})[0]"
+    return sure
+
+
 def _bits(places: DataFrame, n: int) -> tuple[DataFrame, Column]:
     """A bit map of ``n`` places ``(__row, pos)`` as broadcast ``(chunk, words)``, and the bit of a place in it.
 
@@ -148,20 +192,23 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _verifier(lines: DataFrame, marks: DataFrame, scratch: Scratch, threshold: float):
-    """Pairs whose shingle sets are near; ``lines(id, coded)`` holds the candidates and ``marks`` their marks."""
+    """Pairs whose shingle sets are near; ``lines(id, coded)`` holds the candidates and ``marks`` their marks and signatures."""
 
     def verify(pairs: DataFrame) -> DataFrame:
         one, other = ([F.col(c).alias(f"{c}_{e}" if c != "id" else e) for c in marks.columns] for e in "ab")
-        # only marks travel until a pair may pass
+        low = [F.expr(" + ".join(f"bit_count(w{j}_{e})" for j in range(MARK // 64))).alias(f"low_{e}") for e in "ab"]
+        # only marks and signatures travel until a pair may pass
         fit = pairs.join(marks.select(*one), "a").join(marks.select(*other), "b")
-        fit = scratch.write(fit.where(_may("{}_a", "{}_b", threshold)).select("a", "b"), "pairs")
+        fit = scratch.write(fit.where(_alike("{}_a", "{}_b")).where(_may("{}_a", "{}_b", threshold)).select("a", "b", *low), "pairs")
         used = only_used(lines, fit)
+        sure = F.expr(_sure("l_a", "l_b", "low_a", "low_b", threshold))
         # whole lines travel, about a tenth of their sets; the sets are made where both lines are
         both = fit.join(used.toDF("a", "l_a"), "a").join(used.toDF("b", "l_b"), "b")
-        sets = both.select("a", "b", _set("l_a").alias("s_a"), _set("l_b").alias("s_b"))
+        both = both.select("a", "b", "l_a", "l_b", sure.alias("sure"))
+        sets = both.select("a", "b", "sure", *[F.when(~F.col("sure"), _set(f"l_{e}")).alias(f"s_{e}") for e in "ab"])
         # a generator, as a filter would be pushed down and make the sets once more
         near = f"""filter(array(struct(a, b, size(array_intersect(s_a, s_b)) as common, size(s_a) + size(s_b) as n)),
-            x -> x.common >= {threshold} * (x.n - x.common) - 1e-9)"""
+            x -> sure or x.common >= {threshold} * (x.n - x.common) - 1e-9)"""
         return sets.select(F.inline(F.expr(near))).select("a", "b")
 
     return verify
@@ -176,30 +223,28 @@ def _large(classes: DataFrame, lines: DataFrame, marks: DataFrame, scratch: Scra
     """
 
     def middle(left: DataFrame) -> DataFrame:
-        """Buckets of up to ``MIDDLE`` members: pairs of members that may be near, by their marks."""
-        held = left.join(marks, "id").groupBy("key").agg(F.collect_list(F.struct("id", "comp", *marks.columns[1:])).alias("x"))
-        likely = f"filter(x, q -> p.comp <> q.comp and p.id < q.id and {_may('p.{}', 'q.{}', threshold)})"
+        """Buckets of up to ``MIDDLE`` members: pairs of members that are alike."""
+        lanes = [c for c in marks.columns if c.startswith("s")]
+        held = left.join(marks.select("id", *lanes), "id").groupBy("key").agg(F.collect_list(F.struct("id", "comp", *lanes)).alias("x"))
+        likely = f"filter(x, q -> p.comp <> q.comp and p.id < q.id and {_alike('p.{}', 'q.{}')})"
         pairs = F.expr(f"flatten(transform(x, p -> transform({likely}, q -> named_struct('a', p.id, 'b', q.id))))")
         return _verifier(lines, marks, scratch, threshold)(held.select(F.inline(pairs)).distinct())
 
     def split(left: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Large buckets -> memberships of small buckets inside them, and those members for which that is not enough.
 
-        Unrelated lines share a bucket by their most frequent shingles.  Of two sketches with ``AGREE`` hashes in common, the rarest
-        hashes of each, all but ``AGREE - 1``, meet (the prefix filter, any order of the hashes that is the same for both): members
-        that share one of those form a small bucket.  A hash that more than ``MIDDLE`` members of the bucket have makes no rows:
+        Unrelated lines share a bucket by their most frequent shingles.  Of two lines with ``ENOUGH`` values in common, the rarest
+        values of each, all but ``ENOUGH - 1``, meet (the prefix filter, any order of the values that is the same for both): members
+        that share one of those form a small bucket.  A value that more than ``MIDDLE`` members of the bucket have makes no rows:
         who would meet others by it stays in the large bucket.
         """
-        sets = narrow(lines, left.select("id").distinct(), ["id"], 16).select("id", F.sort_array(_set("coded")).alias("s"))
-        # half of each hash tells it from the others of two sketches
-        sketches = scratch.write(sets.select("id", F.size("s").alias("n"), F.expr(f"transform(slice(s, 1, {SKETCH}), x -> cast((x & {WORD}) - 2147483648 as int))").alias("k")), "sketches")
-        held = scratch.write(left.join(sketches, "id").select("key", "id", "comp", "parts", "n", "k"), "held")
+        values = F.array(*[F.xxhash64(F.lit(i), f"m{i}") for i in range(VALUES)])
+        held = scratch.write(left.join(narrow(classes, left.select("id").distinct(), ["id"], 16).select("id", values.alias("k")), "id").select("key", "id", "comp", "parts", "k"), "held")
         often = held.select("key", "comp", F.explode("k").alias("x")).groupBy("key", "x").agg(F.count("*").alias("c"), F.min("comp").alias("low"), F.max("comp").alias("high"))
         often = scratch.write(often.where("c > 1").select("key", "x", "c", F.expr("low < high").alias("mixed")), "often")
-        met = held.select("key", "id", "comp", "parts", "n", F.size("k").alias("m"), F.explode("k").alias("x")).join(often, ["key", "x"], "left")
-        ranked = met.groupBy("key", "id").agg(*[F.first(c).alias(c) for c in ("comp", "parts", "n", "m")], F.sort_array(F.collect_list(F.struct(F.coalesce("c", F.lit(1)).alias("c"), "x", F.coalesce("mixed", F.lit(False)).alias("mixed")))).alias("x"))
-        # a partner may have fewer hashes, and then fewer need to agree
-        rare = f"slice(x, 1, m - least({AGREE}, cast(ceil({threshold} * n - 1e-9) as int) div 2) + 1)"
+        met = held.select("key", "id", "comp", "parts", F.explode("k").alias("x")).join(often, ["key", "x"], "left")
+        ranked = met.groupBy("key", "id").agg(*[F.first(c).alias(c) for c in ("comp", "parts")], F.sort_array(F.collect_list(F.struct(F.coalesce("c", F.lit(1)).alias("c"), "x", F.coalesce("mixed", F.lit(False)).alias("mixed")))).alias("x"))
+        rare = f"slice(x, 1, {VALUES - ENOUGH + 1})"
         rows = ranked.select("key", "id", "comp", "parts", F.expr(f"filter({rare}, z -> z.mixed)").alias("rare"))
         rows = rows.select("key", "id", "comp", "parts", F.expr(f"transform(filter(rare, z -> z.c <= {MIDDLE}), z -> z.x)").alias("few"), F.expr(f"exists(rare, z -> z.c > {MIDDLE})").alias("many"))
         rows = scratch.write(rows.where("many or size(few) > 0"), "rare")
@@ -265,13 +310,16 @@ def _groups(docs: DataFrame, own: DataFrame, scratch: Scratch, threshold: float)
     outer, scratch = scratch, Scratch(scratch.spark, "near")
     classes = scratch.write(signed(docs).withColumn("id", F.monotonically_increasing_id()), "classes")
     shared = share(_members, classes, scratch)
-    every, classes = classes, scratch.write(classes.join(shared.select("id").distinct(), "id", "left_semi"), "classes")
-    scratch.drop(every)
+    for pick in (lambda: shared, lambda: _pruned(shared, classes, scratch)):
+        before, shared = shared, pick()
+        every, classes = classes, scratch.write(classes.join(shared.select("id").distinct(), "id", "left_semi"), "classes")
+        scratch.drop(every)
+    scratch.drop(before)
     wanted = own.join(classes.select("id", "h1", "h2"), ["h1", "h2"]).groupBy("id").agg(F.min(F.struct("__row", "pos")).alias("at")).select("id", "at.__row", "at.pos")
     wanted = scratch.write(wanted, "wanted")
     lines = scratch.write(_texts(docs, wanted), "lines")
     scratch.drop(wanted)
-    marks = scratch.write(_marks(lines), "marks")
+    marks = scratch.write(_marks(lines).join(classes.select("id", *_lanes()), "id"), "marks")
     comp = link(shared, _verifier(lines, marks, scratch, threshold), _large(classes, lines, marks, scratch, threshold), scratch)
     near = outer.write(classes.select("id", "h1", "h2").join(comp, "id").select("h1", "h2", "comp"), "near")
     scratch.close()

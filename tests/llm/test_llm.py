@@ -666,3 +666,49 @@ def test_sets_are_made_only_for_pairs_whose_marks_allow_it(spark, monkeypatch):
     monkeypatch.setattr(Scratch, "write", counted)
     got = line_dedup.line_groups(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"), scratch(spark)).collect()
     assert [x.keep_doc for x in got] == [24, 24] and made and sum(made) <= 1
+
+
+def test_texts_are_read_only_for_lines_that_are_alike(spark, monkeypatch):
+    """One bucket of unrelated lines and a near pair: the texts of the pair are read, no others, and the pair is found."""
+    docs = [words(s, 40) for s in range(600, 624)] + [words(630, 40), words(630, 40) + " zz"]
+    monkeypatch.setattr(line_dedup, "_keys", lambda: F.array(F.lit(1).cast("long")))
+    counts, write = collections.Counter(), Scratch.write
+
+    def counted(self, df, name="t"):
+        back = write(self, df, name)
+        counts[name] += back.count()
+        return back
+
+    monkeypatch.setattr(Scratch, "write", counted)
+    got = line_dedup.line_groups(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"), scratch(spark)).collect()
+    assert [x.keep_doc for x in got] == [24, 24] and counts["lines"] == 2
+
+
+def test_pairs_that_differ_in_one_stretch_are_near_without_sets(spark):
+    """What the lengths of common ends prove is near by brute force, with repeated shingles too, and a changed word is proved."""
+    r, base = random.Random(51), words(43, 60)
+    lines = [base, base[:90] + "#" + base[91:], base[:90] + "changed words" + base[99:], base + " end", "start " + base, base[:40] + base, base[::-1]]
+    lines += ["ab" * n for n in (10, 11, 60, 61)] + ["=" * n for n in (9, 10, 80)] + ["ab" * 40 + base[:9] + "ab" * 40, "ab" * 40 + base[:30] + "ab" * 40]
+    lines += [base[:k] + words(r.randrange(99), 9)[: r.randint(1, 60)] + base[k + r.randint(0, 50) :] for k in (0, 8, 9, 30, 100, 200) for _ in range(3)]
+    sets = [{t[k : k + 9] for k in range(len(t) - 8)} for t in lines]
+    pairs = [(i, j, lines[i].encode("UTF-16BE"), lines[j].encode("UTF-16BE"), len(sets[i]), len(sets[j])) for j in range(len(lines)) for i in range(len(lines)) if i != j]
+    df = spark.createDataFrame(pairs, "a int, b int, l_a binary, l_b binary, low_a int, low_b int")
+    proved = {(x.a, x.b) for x in df.where(F.expr(line_dedup._sure("l_a", "l_b", "low_a", "low_b", 0.8))).select("a", "b").collect()}
+    assert all(len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) for i, j in proved)
+    assert {(0, 1), (1, 0), (0, 2), (0, 3), (3, 0), (0, 4), (4, 0)} <= proved
+
+
+def test_buckets_of_one_id_are_left_out_of_shared_ones(spark, monkeypatch):
+    """Ids that are alone go; the others keep their neighbours and heads, where a bucket is dealt out in parts too."""
+    rows = [(i, [1000 + i, i // 2] if i < 100 else [7777] if i < 180 else [5000 + i]) for i in range(200)]
+    members = lambda t: t.select(F.explode("keys").alias("key"), "id")
+    df = scratch(spark).write(spark.createDataFrame(rows, "id long, keys array<long>"))
+    want = {(k, i) for i, keys in rows for k in keys if k < 1000 or k == 7777}
+    monkeypatch.setattr(components, "DRAWN", 4)
+    for hot in (10**6, 5):
+        monkeypatch.setattr(components, "HOT", hot)
+        monkeypatch.setattr(components, "PART", 32)
+        got = components.share(members, df, scratch(spark)).collect()
+        assert {(x.key, x.id) for x in got} == want and len(got) == len(want)
+        assert all(x["head"] == (100 if x.key == 7777 else 2 * x.key) for x in got)
+        assert {x.parts > 1 for x in got if x.key == 7777} == {hot == 5}
